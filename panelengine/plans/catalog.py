@@ -26,6 +26,7 @@ def load_all():
     # import for side effects: each module registers its queries
     from . import (  # noqa: F401
         q_features,
+        q_quality,
     )
 
     return QUERIES, ORACLE
