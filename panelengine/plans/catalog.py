@@ -27,6 +27,7 @@ def load_all():
     from . import (  # noqa: F401
         q_features,
         q_quality,
+        q_metrics,
     )
 
     return QUERIES, ORACLE
