@@ -28,6 +28,7 @@ def load_all():
         q_features,
         q_quality,
         q_metrics,
+        q_linear,
     )
 
     return QUERIES, ORACLE
