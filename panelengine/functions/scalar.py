@@ -49,12 +49,13 @@ def month_cos(m: str | Column) -> Column:
 
 
 def horizon_degradation(h: str | Column) -> Column:
-    """Piecewise-linear error growth over the horizon: 1.0 at h<=1, 1.15 at 3, 1.30 at >=6."""
+    """Error growth over the horizon: 1.0 at month 1, 1.15 at 2, 1.30 from 3 on, linear
+    in between."""
     h = col(h).cast("double")
     return (
         F.when(h <= 1, dbl(1.0))
-        .when(h <= 3, 1.0 + (h - 1) * 0.075)
-        .when(h <= 6, 1.15 + (h - 3) * 0.05)
+        .when(h <= 2, 1.0 + (h - 1) * 0.15)
+        .when(h <= 3, 1.15 + (h - 2) * 0.15)
         .otherwise(dbl(1.30))
     )
 

@@ -29,6 +29,7 @@ def load_all():
         q_quality,
         q_metrics,
         q_linear,
+        q_whatif,
     )
 
     return QUERIES, ORACLE
