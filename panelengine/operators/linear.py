@@ -153,14 +153,15 @@ class LinearModel:
     def scaled_coef(self) -> np.ndarray:
         return self.coef * self.std_x[:, None]
 
-    def predict_columns(self, prefix: str = "predicted_") -> list[Column]:
-        """One literal dot-product expression per target (codegen, no UDF, no join)."""
+    def predict_columns(self, prefix: str = "predicted_", available=None) -> list[Column]:
+        """One literal dot-product expression per target (codegen, no UDF, no join).
+        Features missing from ``available`` count as 0.0 (serving-time rule)."""
         out = []
         for t, name in enumerate(self.targets):
             e = F.lit(float(self.intercept[t]))
             for j, c in enumerate(self.features):
                 b = float(self.coef[j, t])
-                if b != 0.0:
+                if b != 0.0 and (available is None or c in available):
                     e = e + F.lit(b) * F.col(c).cast("double")
             out.append(e.alias(f"{prefix}{name}"))
         return out

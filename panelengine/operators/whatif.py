@@ -172,3 +172,63 @@ __all__ = [
     "request_table", "validate_levers", "with_history", "fill_missing_levers", "clip_levers", "request_features",
     "lever_strength", "feasibility", "scaled_levers", "lever_quality", "horizon_degradation", "confidence_level", "pct_change",
 ]
+
+
+# --- forecasts from model predictions (#186-#188) ------------------------------------
+
+
+def forecast_monthly(df: DataFrame, pred_prefix: str = "predicted_", levers: str = "clipped") -> DataFrame:
+    """One row per (request, month 1..h).  Months 1-3 come from the model (members
+    interpolated from the current value, integer-truncated; retention current until month
+    3); later months extrapolate revenue with g = (r3 - r1) / (3 r1), members flat."""
+    p = lambda t: F.col(f"{pred_prefix}{t}")
+    cur_m = F.col(f"{levers}.total_members")
+    cur_r = F.col(f"{levers}.retention_rate")
+    x = df.select("*", F.explode(F.sequence(F.lit(1), F.col("projection_months"))).alias("month_ahead"))
+    m = F.col("month_ahead")
+    r1, r3 = p("revenue_month_1"), p("revenue_month_3")
+    members3 = p("member_count_month_3").cast("long")
+    g = (r3 - r1) / (3 * r1)
+    revenue = (
+        F.when(m == 1, r1).when(m == 2, p("revenue_month_2")).when(m == 3, r3)
+        .otherwise(r3 * F.pow(1 + g, (m - 3).cast("double")))
+    )
+    members = F.when(m == 3, members3).when(m < 3, (cur_m + (p("member_count_month_3") - cur_m) * m / 3).cast("long")).otherwise(members3)
+    retention = F.when(m >= 3, p("retention_rate_month_3")).otherwise(cur_r)
+    conf = F.when(m <= 3, 0.85 - 0.05 * (m - 1)).otherwise(F.greatest(dbl(0.5), 0.80 - 0.05 * (m - 1)))
+    return x.select("request_id", "month_ahead", revenue.alias("revenue"), members.alias("member_count"),
+                    retention.alias("retention_rate"), conf.cast("double").alias("confidence_score"))
+
+
+def forecast_totals(monthly: DataFrame) -> DataFrame:
+    return monthly.groupBy("request_id").agg(
+        F.sum("revenue").alias("total_projected_revenue"), F.avg("confidence_score").alias("average_confidence"),
+        F.count(F.lit(1)).alias("months"),
+    )
+
+
+# --- sensitivity (#132, #195-#197) --------------------------------------------------------
+
+# Implementation effort per lever
+LEVER_EFFORT = {
+    "avg_ticket_price": "low", "upsell_rate": "low",
+    "class_attendance_rate": "medium", "staff_utilization_rate": "medium", "total_classes_held": "medium",
+    "total_members": "high", "retention_rate": "high", "new_members": "high",
+}
+
+
+def lever_variations(df: DataFrame, changes=(-20, -10, 10, 20), src: str = "clipped") -> DataFrame:
+    """Each request x lever x change %: the varied lever struct (clipped).  A fixed-size
+    fan-out by ``explode`` of a literal grid (levers x changes rows per request), no join."""
+    grid = F.array(*[F.struct(F.lit(lv).alias("lever"), F.lit(float(c)).alias("change_pct")) for lv in LEVERS for c in changes])
+    x = df.withColumn("v", F.explode(grid))
+    fields = []
+    for lv, (lo, hi, _, is_int) in LEVERS.items():
+        base = F.col(f"{src}.{lv}")
+        new = clip(base * (1 + F.col("v.change_pct") / 100.0), lo, hi)
+        if is_int:
+            new = F.rint(new)
+        fields.append(F.when(F.col("v.lever") == lv, new).otherwise(base).alias(lv))
+    return x.withColumn("varied", F.struct(*fields)).select(
+        "*", F.col("v.lever").alias("lever"), F.col("v.change_pct").alias("change_pct")
+    ).drop("v")

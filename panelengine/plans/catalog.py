@@ -30,6 +30,7 @@ def load_all():
         q_metrics,
         q_linear,
         q_whatif,
+        q_forecast,
     )
 
     return QUERIES, ORACLE
