@@ -33,8 +33,8 @@ def _filled(spark, sf):
 # --------------------------------------------------------------------------- SQL pieces
 
 _REQ = "req AS (SELECT entity_id AS request_id, entity_id, " + ", ".join(
-    f"max_by(CAST({lv} AS DOUBLE), month) AS in_{lv}" if lv in PRESENT else f"CAST(NULL AS DOUBLE) AS in_{lv}" for lv in LV
-) + ", 6 AS projection_months FROM panel GROUP BY entity_id)"
+    f"CAST({lv} AS DOUBLE) AS in_{lv}" if lv in PRESENT else f"CAST(NULL AS DOUBLE) AS in_{lv}" for lv in LV
+) + ", 6 AS projection_months FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY month DESC) AS latest FROM panel) WHERE latest = 1)"
 
 _HIST = (
     "hc AS (SELECT entity_id, count(*) AS n_hist, max_by(total_revenue, month) AS last_revenue, max_by(total_members, month) AS last_members, "
