@@ -31,6 +31,7 @@ def load_all():
         q_linear,
         q_whatif,
         q_forecast,
+        q_trees,
     )
 
     return QUERIES, ORACLE
