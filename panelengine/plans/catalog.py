@@ -32,6 +32,7 @@ def load_all():
         q_whatif,
         q_forecast,
         q_trees,
+        q_augment,
     )
 
     return QUERIES, ORACLE
