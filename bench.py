@@ -4,7 +4,7 @@ local[$BENCH_CPUS]; prints one JSON line.
 Headline jobs (wall seconds each, fresh plan per job):
   panel          nation-month panel from orders/lineitem/customer (scan, joins, aggregates)
   features       full feature plan, materialized (entity windows, NaN drop, split)
-  quality        range + IQR + null checks on the panel
+  quality        range + IQR + null checks on the (materialized) panel
   metrics        3 baselines -> regression + business metrics
   train_cv       Gram -> select 15 -> ridge, grouped 5-fold CV from fold Grams
   walk_forward   36/3/3 walk-forward over all features (month Grams once)
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from panelengine.operators import metrics as M  # noqa: E402
 from panelengine.operators import quality as Q  # noqa: E402
 from panelengine.plans import training as TR  # noqa: E402
-from panelengine.plans.common import features, panel, raw  # noqa: E402
+from panelengine.plans.common import features, materialize, panel, raw  # noqa: E402
 from panelengine.session import local_session  # noqa: E402
 
 
@@ -42,7 +42,7 @@ def main():
         return features(spark, sf_dir).count()
 
     def run_quality():
-        r = raw(spark, sf_dir)
+        r = materialize(raw(spark, sf_dir))  # one panel build shared by the check families
         Q.range_violations(r).collect()
         Q.iqr_outliers(r).collect()
         return Q.null_counts(r).collect()
