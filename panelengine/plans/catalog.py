@@ -33,6 +33,7 @@ def load_all():
         q_forecast,
         q_trees,
         q_augment,
+        q_sinks,
     )
 
     return QUERIES, ORACLE
