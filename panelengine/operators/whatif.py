@@ -232,3 +232,53 @@ def lever_variations(df: DataFrame, changes=(-20, -10, 10, 20), src: str = "clip
     return x.withColumn("varied", F.struct(*fields)).select(
         "*", F.col("v.lever").alias("lever"), F.col("v.change_pct").alias("change_pct")
     ).drop("v")
+
+
+# --- inverse search (#199-#201, #206, #207) ----------------------------------------------
+
+
+def optimization_bounds(df: DataFrame, current: str = "clipped") -> DataFrame:
+    """Per-lever search interval: global bounds, with retention / ticket / new members
+    capped at current + max increase when the request carries that constraint."""
+    caps = {"retention_rate": "max_retention_increase", "avg_ticket_price": "max_ticket_increase", "new_members": "max_new_members_increase"}
+    fields = []
+    for lv, (lo, hi, _, _) in LEVERS.items():
+        up = dbl(hi)
+        if lv in caps and caps[lv] in df.columns:
+            up = F.least(dbl(hi), F.coalesce(F.col(f"{current}.{lv}") + F.col(caps[lv]), dbl(hi)))
+        fields.append(F.struct(dbl(lo).alias("lo"), up.alias("hi")).alias(lv))
+    return df.withColumn("bounds", F.struct(*fields))
+
+
+def inverse_candidates(df: DataFrame, steps: int = 9, current: str = "clipped") -> DataFrame:
+    """Coordinate grid inside the bounds: the current levers plus, per lever, ``steps``
+    evenly spaced values with the other levers held (levers x steps + 1 rows per request,
+    a fixed fan-out)."""
+    grid = [F.struct(F.lit("current").alias("lever"), dbl(0.0).alias("frac"))] + [
+        F.struct(F.lit(lv).alias("lever"), dbl(k / (steps - 1)).alias("frac")) for lv in LEVERS for k in range(steps)
+    ]
+    x = df.withColumn("g", F.explode(F.array(*grid)))
+    fields = []
+    for lv, (_, _, _, is_int) in LEVERS.items():
+        lo, hi = F.col(f"bounds.{lv}.lo"), F.col(f"bounds.{lv}.hi")
+        v = lo + F.col("g.frac") * (hi - lo)
+        if is_int:
+            v = F.rint(v)
+        fields.append(F.when(F.col("g.lever") == lv, v).otherwise(F.col(f"{current}.{lv}")).alias(lv))
+    return x.withColumn("candidate", F.struct(*fields)).withColumn("cand_lever", F.col("g.lever")).drop("g")
+
+
+def objective_single(revenue: Column, target: Column, current: str, cand: str) -> Column:
+    """(revenue - target)^2 + 1e-4 * sum((x - x0)^2)."""
+    reg = sum(((F.col(f"{cand}.{lv}") - F.col(f"{current}.{lv}")) ** 2 for lv in LEVERS), dbl(0.0))
+    return (revenue - target) ** 2 + 1e-4 * reg
+
+
+def lever_changes(df: DataFrame, current: str, proposed: str) -> DataFrame:
+    items = []
+    for lv in LEVERS:
+        a, b = F.col(f"{current}.{lv}"), F.col(f"{proposed}.{lv}")
+        items.append(F.struct(F.lit(lv).alias("lever"), a.alias("current"), b.alias("proposed"), (b - a).alias("change"),
+                              pct_change(b, a).alias("change_pct")))
+    x = df.select("request_id", F.explode(F.array(*items)).alias("c")).select("request_id", "c.*")
+    return x.where(F.abs(F.col("change")) > 0.001)

@@ -106,3 +106,55 @@ def q_quick_wins(spark, sf):
     d = d.withColumn("roi_per_unit", F.try_divide(F.col("revenue_gain"), F.col("lever_change"))).withColumn("effort", eff[F.col("lever")])
     w = Window.partitionBy("request_id").orderBy(F.desc("revenue_gain"), "lever")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+
+
+def _inverse(spark, sf, target_factor: float = 1.10, months: int = 3):
+    s, model = _scored_requests(spark, sf)
+    r = [F.col(f"predicted_revenue_month_{i}") for i in (1, 2, 3)]
+    base = s.select(
+        "request_id", "n_hist", "last_revenue", "last_members", "last_month", "tail3_avg_retention", "tail3_avg_revenue",
+        "tail3_avg_attendance", "tail3_std_revenue", "ewm_revenue", "clipped",
+        ((r[0] + r[1] + r[2]) * target_factor).alias("target_revenue"),
+    )
+    cands = WI.inverse_candidates(WI.optimization_bounds(base))
+    f = WI.request_features(cands, levers="candidate")
+    preds = model.predict_columns(available=set(f.columns))
+    scored = f.select("request_id", "cand_lever", "candidate", "clipped", "target_revenue", (preds[0] + preds[1] + preds[2]).alias("revenue"))
+    scored = scored.withColumn("objective", WI.objective_single(F.col("revenue"), F.col("target_revenue"), "clipped", "candidate"))
+    best = scored.groupBy("request_id").agg(
+        F.min_by(F.struct("candidate", "revenue", "cand_lever"), "objective").alias("b"), F.first("target_revenue").alias("target_revenue"),
+        F.first("clipped").alias("clipped"), F.min("objective").alias("objective"),
+    )
+    return best.select("request_id", "target_revenue", "objective", "clipped", F.col("b.candidate").alias("optimized"),
+                       F.col("b.revenue").alias("predicted_revenue"), F.col("b.cand_lever").alias("moved_lever"))
+
+
+@register("optimization_bounds")
+def q_optimization_bounds(spark, sf):
+    s, _ = _scored_requests(spark, sf)
+    b = WI.optimization_bounds(s.select("request_id", "clipped"))
+    return b.select("request_id", F.explode(F.array(*[F.struct(F.lit(lv).alias("lever"), F.col(f"bounds.{lv}.lo").alias("lo"),
+                                                           F.col(f"bounds.{lv}.hi").alias("hi")) for lv in LEVERS])).alias("x")).select("request_id", "x.*")
+
+
+@register("inverse_search")
+def q_inverse_search(spark, sf):
+    return _inverse(spark, sf).select("request_id", "target_revenue", "predicted_revenue", "objective", "moved_lever", "optimized.*")
+
+
+@register("objective_single")
+def q_objective_single(spark, sf):
+    return _inverse(spark, sf).select("request_id", "objective")
+
+
+@register("achievement")
+def q_achievement(spark, sf):
+    x = _inverse(spark, sf)
+    ach = F.least(F.col("predicted_revenue") / F.col("target_revenue"), F.lit(1.0))
+    return x.select("request_id", ach.alias("achievement"),
+                    (F.abs(F.col("predicted_revenue") - F.col("target_revenue")) <= 0.05 * F.col("target_revenue")).alias("success"))
+
+
+@register("lever_changes")
+def q_lever_changes(spark, sf):
+    return WI.lever_changes(_inverse(spark, sf), "clipped", "optimized")
