@@ -158,3 +158,79 @@ def q_achievement(spark, sf):
 @register("lever_changes")
 def q_lever_changes(spark, sf):
     return WI.lever_changes(_inverse(spark, sf), "clipped", "optimized")
+
+
+# --------------------------------------------------------------------------- scenarios, plans
+
+# named lever sets compared per request: (name, lever -> factor); "current" keeps the levers
+SCENARIOS = (
+    ("current", {}),
+    ("all_plus_10", {lv: 1.10 for lv in LEVERS}),
+    ("all_minus_10", {lv: 0.90 for lv in LEVERS}),
+    ("price_plus_20", {"avg_ticket_price": 1.20}),
+    ("retention_plus_5", {"retention_rate": 1.05}),
+)
+
+
+def _scenario_scores(spark, sf):
+    s, model = _scored_requests(spark, sf)
+    base = s.select("request_id", "n_hist", "last_revenue", "last_members", "last_month", "tail3_avg_retention", "tail3_avg_revenue",
+                    "tail3_avg_attendance", "tail3_std_revenue", "ewm_revenue", "clipped")
+    arr = []
+    for name, factors in SCENARIOS:
+        fields = []
+        for lv, (lo, hi, _, is_int) in LEVERS.items():
+            v = F.col(f"clipped.{lv}") * F.lit(factors.get(lv, 1.0))
+            v = F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi)))
+            fields.append((F.rint(v) if is_int else v).alias(lv))
+        arr.append(F.struct(F.lit(name).alias("scenario"), F.struct(*fields).alias("levers")))
+    x = base.withColumn("sc", F.explode(F.array(*arr))).withColumn("scenario", F.col("sc.scenario")).withColumn("varied", F.col("sc.levers")).drop("sc")
+    f = WI.request_features(x, levers="varied")
+    p = model.predict_columns(available=set(f.columns))
+    return f.select("request_id", "scenario", p[0].alias("revenue_month_1"), p[3].alias("member_count_month_3"))
+
+
+@register("compare_lever_scenarios")
+def q_compare_lever_scenarios(spark, sf):
+    sc = _scenario_scores(spark, sf)
+    w = Window.partitionBy("request_id").orderBy(F.desc("revenue_month_1"), "scenario")
+    return sc.withColumn("rank", F.row_number().over(w))
+
+
+@register("scenario_ranges")
+def q_scenario_ranges(spark, sf):
+    sc = _scenario_scores(spark, sf)
+    return sc.groupBy("request_id").agg(
+        F.min("revenue_month_1").alias("min_revenue"), F.max("revenue_month_1").alias("max_revenue"),
+        (F.max("revenue_month_1") - F.min("revenue_month_1")).alias("revenue_spread"),
+        F.min("member_count_month_3").alias("min_members"), F.max("member_count_month_3").alias("max_members"),
+        F.max_by("scenario", "revenue_month_1").alias("best_scenario"),
+    )
+
+
+@register("action_plan")
+def q_action_plan(spark, sf):
+    """Lever changes of the inverse search ranked by base priority (top 6); expected
+    impact split by |change %| share (equal split when all are 0); weeks x1.5 for hard and
+    x2 for very hard changes."""
+    from ..spec import LEVER_PRIORITY, LEVER_TIMELINE_WEEKS
+
+    inv = _inverse(spark, sf)
+    s, _ = _scored_requests(spark, sf)
+    base_rev = s.select("request_id", (F.col("predicted_revenue_month_1") + F.col("predicted_revenue_month_2") + F.col("predicted_revenue_month_3")).alias("base_revenue"))
+    ch = WI.lever_changes(inv, "clipped", "optimized").join(inv.select("request_id", "predicted_revenue"), "request_id").join(base_rev, "request_id")
+    thr = F.create_map(*[x for lv, t in WI.FEASIBILITY_THRESHOLDS.items() for x in (F.lit(lv), F.array(*[F.lit(float(v)) for v in t]))])
+    prio = F.create_map(*[x for lv, p in LEVER_PRIORITY.items() for x in (F.lit(lv), F.lit(p))])
+    weeks = F.create_map(*[x for lv, wk in LEVER_TIMELINE_WEEKS.items() for x in (F.lit(lv), F.lit(wk))])
+    t = thr[F.col("lever")]
+    a = F.abs(F.col("change"))
+    diff = F.when(a <= t[0], "easy").when(a <= t[1], "moderate").when(a <= t[2], "hard").otherwise("very_hard")
+    wr = Window.partitionBy("request_id")
+    share = F.when(F.sum(F.abs("change_pct")).over(wr) > 0, F.abs("change_pct") / F.sum(F.abs("change_pct")).over(wr)).otherwise(1.0 / F.count(F.lit(1)).over(wr))
+    x = ch.select(
+        "request_id", "lever", "current", "proposed", "change_pct", diff.alias("difficulty"), prio[F.col("lever")].alias("priority"),
+        ((F.col("predicted_revenue") - F.col("base_revenue")) * share).alias("expected_impact"),
+        (weeks[F.col("lever")] * F.when(diff == "hard", 1.5).when(diff == "very_hard", 2.0).otherwise(1.0)).alias("timeline_weeks"),
+    )
+    w = Window.partitionBy("request_id").orderBy("priority", "lever")
+    return x.withColumn("step", F.row_number().over(w)).where(F.col("step") <= 6)

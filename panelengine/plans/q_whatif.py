@@ -370,3 +370,25 @@ def _trend_sql():
 @register("product_trend", _trend_sql())
 def q_product_trend(spark, sf):
     return P.product_trend(raw(spark, sf))
+
+
+@register("product_recommendations")
+def q_product_recommendations(spark, sf):
+    """Per request: the promote / demote lists, each product with its two levers of highest
+    |correlation| and the request's strength on them, as reasoning text."""
+    from pyspark.sql import Window
+
+    f = features(spark, sf)
+    p = raw(spark, sf)
+    top = P.topk_products(P.corr_product_revenue(f), P.product_stats(f))
+    lev = P.corr_product_lever(p).where(F.col("corr").isNotNull())
+    w = Window.partitionBy("product").orderBy(F.desc(F.abs("corr")), "lever")
+    top2 = lev.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2)
+    strengths = WI.lever_strength(_filled(spark, sf)).select("request_id", "lever", "strength")
+    j = top.join(top2.select("product", "lever", F.col("corr").alias("lever_corr")), "product", "left")
+    j = j.join(strengths, "lever", "left")  # lever strengths: requests x 4 levers
+    reason = F.concat_ws(" ", F.col("lever"), F.lit("("), F.format_number("lever_corr", 2), F.lit(")"), F.coalesce(F.col("strength"), F.lit("n/a")))
+    g = j.groupBy("request_id", "action", "rank", "product", "display_name").agg(
+        F.concat_ws("; ", F.array_sort(F.collect_list(reason))).alias("reasoning")
+    )
+    return g.where(F.col("request_id").isNotNull())
