@@ -364,3 +364,30 @@ def q_sink_metrics(spark, sf):
     bm = M.business_metrics(M.baseline_last_value(features(spark, sf))).where(F.col("dataset") == "test")
     # one-row flattened view of the long metrics table (a pivot over the metric names)
     return bm.groupBy().pivot("metric", list(_SINK_METRICS)).agg(F.max("value"))
+
+
+@register(
+    "average_report_metrics",
+    msql(
+        f"""SELECT r.model, {r2('avg(r.rmse)', 2)} AS avg_rmse, {r2('avg(r.mape)', 2)} AS avg_mape, {r2('avg(r.r2)', 4)} AS avg_r2,
+                   any_value(b.value) AS within_10_percent,
+                   avg(r.mape) < 10 AND any_value(b.value) > 70 AS approved
+            FROM ({_reg_sql('model, dataset, target')}) r
+            JOIN (SELECT model, dataset, value FROM one_long WHERE metric = 'within_10_percent') b USING (model, dataset)
+            WHERE r.dataset = 'test' GROUP BY r.model""",
+        extra=_business_sql()[1] + ",\none_long AS (" + _business_sql()[0] + ")",
+    ),
+)
+def q_average_report_metrics(spark, sf):
+    """Mean RMSE / MAPE / R2 over the targets on the test split and the approval rule
+    (MAPE < 10 and within-10 % > 70)."""
+    w = _baselines(spark, sf)
+    reg = M.regression_metrics(M.to_long(w)).where(F.col("dataset") == "test")
+    bm = M.business_metrics(w).where((F.col("dataset") == "test") & (F.col("metric") == "within_10_percent"))
+    g = reg.groupBy("model").agg(F.avg("rmse").alias("_rmse"), F.avg("mape").alias("_mape"), F.avg("r2").alias("_r2"))
+    j = g.join(bm.select("model", F.col("value").alias("within_10_percent")), "model")
+    rnd = lambda c, d: (F.rint(F.col(c) * 10**d) / 10**d)
+    return j.select(
+        "model", rnd("_rmse", 2).alias("avg_rmse"), rnd("_mape", 2).alias("avg_mape"), rnd("_r2", 4).alias("avg_r2"),
+        "within_10_percent", ((F.col("_mape") < 10) & (F.col("within_10_percent") > 70)).alias("approved"),
+    )
