@@ -396,3 +396,18 @@ def q_leakage_verdict(spark, sf):
         F.when(F.col("worst") >= 3, "REJECTED").when(F.col("worst") == 2, "CONDITIONAL").otherwise("APPROVED").alias("verdict"),
         F.array_sort("issues").alias("issues"),
     )
+
+
+@register("scan_model_registry")
+def q_scan_model_registry(spark, sf):
+    """Train two versions, save them as registry tables, list the registry."""
+    import uuid
+
+    from ..sources import registry as RG
+
+    root = RG.registry_root(spark, f"registry-{uuid.uuid4().hex[:10]}")
+    feat = features(spark, sf)
+    for version, alpha, k in (("2.1.0", 10.0, 12), ("2.2.0", 5.0, 15)):
+        model, _, _ = TR.train(feat, k=k, alpha=alpha)
+        RG.save_model(spark, root, model, version)
+    return RG.scan_model_registry(spark, root)
