@@ -282,3 +282,44 @@ def lever_changes(df: DataFrame, current: str, proposed: str) -> DataFrame:
                               pct_change(b, a).alias("change_pct")))
     x = df.select("request_id", F.explode(F.array(*items)).alias("c")).select("request_id", "c.*")
     return x.where(F.abs(F.col("change")) > 0.001)
+
+
+# --- per-entity lever models (#190) ---------------------------------------------------------
+
+
+def fit_lever_ridge(panel: DataFrame, levers: list[str], spec: PanelSpec = DEFAULT_SPEC, n: int = 12, alpha: float = 1.0) -> DataFrame:
+    """For every entity and lever: ridge (alpha, intercept unpenalised, standardised inputs) of
+    the lever on the other levers over the entity's last ``n`` months.  Needs >= 5 rows, >= 2
+    inputs and >= 3 complete rows.  Groups hold at most ``n`` rows, so each is solved inside
+    one task with numpy; the entity shuffle is the only exchange."""
+    import numpy as np
+    import pandas as pd
+
+    from .history import last_n_per_entity
+
+    rows = last_n_per_entity(panel.select(spec.entity, spec.month, *levers), n, spec)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        ent = pdf[spec.entity].iloc[0]
+        if len(pdf) >= 5:
+            for target in levers:
+                inputs = [c for c in levers if c != target and pdf[c].notna().any()]
+                data = pdf[inputs + [target]].dropna()
+                if len(inputs) < 2 or len(data) < 3:
+                    continue
+                x = data[inputs].to_numpy(float)
+                y = data[target].to_numpy(float)
+                mu, sd = x.mean(0), x.std(0)
+                sd[sd < 1e-12] = 1.0
+                xs = (x - mu) / sd
+                xc, yc = xs - xs.mean(0), y - y.mean()
+                w = np.linalg.solve(xc.T @ xc + alpha * np.eye(len(inputs)), xc.T @ yc)
+                coef = w / sd
+                icpt = y.mean() - (mu + xs.mean(0) * sd) @ coef
+                for c, b in zip(inputs, coef):
+                    out.append((ent, target, c, float(b), float(icpt), len(data)))
+        return pd.DataFrame(out, columns=[spec.entity, "lever", "input", "coef", "intercept", "n_rows"])
+
+    schema = f"{spec.entity} long, lever string, input string, coef double, intercept double, n_rows long"
+    return rows.groupBy(spec.entity).applyInPandas(fit, schema)

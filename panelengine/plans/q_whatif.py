@@ -392,3 +392,8 @@ def q_product_recommendations(spark, sf):
         F.concat_ws("; ", F.array_sort(F.collect_list(reason))).alias("reasoning")
     )
     return g.where(F.col("request_id").isNotNull())
+
+
+@register("fit_lever_ridge")
+def q_fit_lever_ridge(spark, sf):
+    return WI.fit_lever_ridge(raw(spark, sf), [lv for lv in LV if lv in PRESENT])
