@@ -397,3 +397,53 @@ def q_product_recommendations(spark, sf):
 @register("fit_lever_ridge")
 def q_fit_lever_ridge(spark, sf):
     return WI.fit_lever_ridge(raw(spark, sf), [lv for lv in LV if lv in PRESENT])
+
+
+# rule effects on the historical mean: (predicted lever, conditioning input lever, condition, effect if true, effect if false, confidence)
+_SIMPLE_RULES = {
+    "retention_rate": ("avg_ticket_price", "< 130", -0.01, 0.01, 0.70),
+    "class_attendance_rate": ("total_classes_held", "> 120", -0.02, 0.02, 0.65),
+    "new_members": ("retention_rate", "> 0.80", 5.0, 0.0, 0.60),
+}
+
+
+def _simple_sql():
+    parts = []
+    for lv in LV:
+        lo, hi, _, _ = LEVERS[lv]
+        hist = f"hist_{lv}" if lv in PRESENT else "CAST(NULL AS DOUBLE)"
+        if lv in _SIMPLE_RULES:
+            src, cond, yes, no, conf = _SIMPLE_RULES[lv]
+            val = f"CASE WHEN in_{src} IS NOT NULL THEN {hist} + CASE WHEN in_{src} {cond} THEN {yes} ELSE {no} END ELSE {hist} END"
+            cf = f"CASE WHEN in_{src} IS NOT NULL THEN {conf} ELSE 0.65 END"
+        else:
+            val, cf = hist, "0.65"
+        clipped = f"least(greatest({val}, {float(lo)}), {float(hi)})"
+        parts.append(
+            f"SELECT request_id, '{lv}' AS lever, CASE WHEN n_hist IS NOT NULL AND {hist} IS NOT NULL THEN {r2(clipped, 6)} ELSE {r2(str((lo + hi) / 2), 6)} END AS predicted_value, "
+            f"CASE WHEN n_hist IS NOT NULL AND {hist} IS NOT NULL THEN {cf} ELSE 0.50 END AS confidence FROM rf"
+        )
+    return wsql("\nUNION ALL ".join(parts))
+
+
+@register("lever_prediction_simple", _simple_sql())
+def q_lever_prediction_simple(spark, sf):
+    """Historical mean of the lever, shifted by a rule on another given lever, clipped;
+    mid-range with confidence 0.5 when the entity has no history of it."""
+    f = _filled(spark, sf)
+    rows = []
+    for lv in LV:
+        lo, hi, _, _ = LEVERS[lv]
+        hist = F.col(f"hist_{lv}") if f"hist_{lv}" in f.columns else F.lit(None).cast("double")
+        val, conf = hist, F.lit(0.65)
+        if lv in _SIMPLE_RULES:
+            src, cond, yes, no, c = _SIMPLE_RULES[lv]
+            x = F.col(f"levers.{src}")
+            op, thr = cond.split()
+            test = x < float(thr) if op == "<" else x > float(thr)
+            val = F.when(x.isNotNull(), hist + F.when(test, F.lit(yes)).otherwise(F.lit(no))).otherwise(hist)
+            conf = F.when(x.isNotNull(), F.lit(c)).otherwise(F.lit(0.65))
+        have = F.col("n_hist").isNotNull() & hist.isNotNull()
+        pred = F.when(have, round2(F.least(F.greatest(val, F.lit(float(lo))), F.lit(float(hi))), 6)).otherwise(round2(F.lit((lo + hi) / 2), 6))
+        rows.append(F.struct(F.lit(lv).alias("lever"), pred.alias("predicted_value"), F.when(have, conf).otherwise(F.lit(0.50)).cast("double").alias("confidence")))
+    return f.select("request_id", F.explode(F.array(*rows)).alias("x")).select("request_id", "x.*")
