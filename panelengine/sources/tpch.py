@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
-from ..session import read_table
+from ..session import ensure_checkpoint_dir, read_table
 from ..spec import PRODUCTS, product_count_column, product_revenue_column
 
 # Fixed mapping values -------------------------------------------------------
@@ -180,6 +180,10 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> Data
     em = em.join(staff, ["entity_id", "month"], "left").withColumn(
         "staff_count", F.coalesce("staff_count", F.lit(0)).cast("bigint")
     )
+    # The tier step reads this table twice (per-row windows and the mean over entities);
+    # a reliable checkpoint keeps the second read from re-aggregating the order tables.
+    ensure_checkpoint_dir(spark)
+    em = em.checkpoint(eager=True)
 
     we = Window.partitionBy("entity_id").orderBy("month")
     contiguous = F.lag("month").over(we) == F.add_months("month", -1)
