@@ -245,7 +245,8 @@ def residual_analysis(long: DataFrame, by=("model", "dataset", "target")) -> Dat
 
 def residual_histogram(long: DataFrame, bins: int = 20, by=("model", "dataset", "target")) -> DataFrame:
     """numpy.histogram over [min, max] with ``bins`` equal bins; max falls in the last bin."""
-    r = _valid(long).select(*by, (F.col("actual") - F.col("predicted")).alias("res"))
+    # residuals rounded to 4 dp first: bin edges must not depend on the last bits of a sum
+    r = _valid(long).select(*by, round2(F.col("actual") - F.col("predicted"), 4).alias("res"))
     rng = r.groupBy(*by).agg(F.min("res").alias("lo"), F.max("res").alias("hi"))
     j = r.join(F.broadcast(rng), list(by))
     width = (F.col("hi") - F.col("lo")) / bins

@@ -257,9 +257,9 @@ def q_residual_analysis(spark, sf):
     msql(
         """SELECT model, dataset, target, CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((res - lo) / ((hi - lo) / 20)) + 1, 20) END AS INTEGER) AS bin,
                   count(*) AS count
-           FROM (SELECT model, dataset, target, actual - predicted AS res,
-                        min(actual - predicted) OVER (PARTITION BY model, dataset, target) AS lo,
-                        max(actual - predicted) OVER (PARTITION BY model, dataset, target) AS hi FROM plv)
+           FROM (SELECT model, dataset, target, res, min(res) OVER (PARTITION BY model, dataset, target) AS lo,
+                        max(res) OVER (PARTITION BY model, dataset, target) AS hi
+                 FROM (SELECT model, dataset, target, round_even((actual - predicted) * 10000, 0) / 10000 AS res FROM plv))
            GROUP BY ALL"""
     ),
 )
