@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,80 @@ def per_text(
     return source.mapInArrow(run, schema)
 
 
+# --- key filters --------------------------------------------------------------------------
+
+#: bits of a key filter: 2 MB, however many keys
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a bit set for each long in the one column of ``keys``. A key
+    that is not in it is certainly not among them; a join decides about the others. It spares
+    the shuffle of most rows where few match, and is right however full it gets."""
+    cell = F.pmod(F.col(keys.columns[0]), F.lit(1 << FILTER_BITS)) + 1
+    rows = (
+        keys.select(cell.alias("c"))
+        .groupBy(F.bitmap_bucket_number("c").alias("b"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(((1 << FILTER_BITS) >> 15, 1 << 12), np.uint8)
+    for r in rows:
+        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = keys.astype(np.int64) & np.int64((1 << FILTER_BITS) - 1)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(spark: SparkSession, bits: np.ndarray, key):
+    """Column: whether the long ``key`` may be among the keys of the filter."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, keys.to_numpy()))
+
+    return test(key)
+
+
+def same_document(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, marks: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined (``how``: inner or left) with ``marks``, whose first two columns are a
+    document's id and the hash of its text. Only documents that may have marks are shuffled."""
+    id_, hash_ = marks.columns[:2]
+    both = F.xxhash64(F.col(f"`{id_}`"), F.col(hash_))
+    bits = key_filter(marks.select(both.alias("k")))
+    own = fresh(docs, "_hash")
+    docs = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`")))
+    flag = fresh(docs, "_may")
+    docs = docs.withColumn(flag, may_be_in(spark, bits, F.xxhash64(F.col(f"`{id_col}`"), F.col(own))))
+    m = marks.select(F.col(f"`{id_}`").alias("_mark_id_"), F.col(hash_).alias("_mark_hash_"), *marks.columns[2:])
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_mark_id_")) & (F.col(own) == F.col("_mark_hash_"))
+    hit = docs.where(F.col(flag)).join(m, on, how).drop("_mark_id_", "_mark_hash_")
+    if how == "left":
+        rest = docs.where(~F.col(flag))
+        hit = hit.unionByName(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields[2:]]))
+    return hit.drop(own, flag)
+
+
+def cut_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, removed: str | None = None) -> DataFrame:
+    """``docs`` without the spans (id, hash of text, start, end) of their texts, in code points;
+    ``removed`` names a column for the sorted spans that were cut."""
+    id_, hash_ = spans.columns[:2]
+    column = removed or fresh(docs, "_cut")
+    lists = spans.groupBy(id_, hash_).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(column))
+    out = same_document(docs.sparkSession, docs, id_col, text_col, lists, "left")
+    t, c = f"`{text_col}`", f"`{column}`"
+    cut = F.expr(f"""case when {c} is null then {t} else array_join(transform(
+        transform(sequence(0, size({c})), i -> named_struct(
+            'from', if(i = 0, 0L, {c}[i - 1].end), 'to', if(i = size({c}), cast(char_length({t}) as bigint), {c}[i].start))),
+        x -> substring({t}, cast(x.from + 1 as int), cast(x.to - x.from as int))), '') end""")
+    out = out.withColumn(text_col, cut)
+    return out if removed else out.drop(column)
+
+
 # --- hashing of word shingles -------------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality
+from . import decontaminate, jaccard, line_chunks, packing, quality, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.drop("hit_spans")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.line_dedup_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring.repeated_spans(_table(spark, sf_dir, "documents"))
+    return spans.withColumnRenamed("id", "doc_id").drop("hash")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,8 +49,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_jaccard": op8_jaccard,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
