@@ -32,9 +32,20 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables and archives that this application wrote between its stages. Frames
+    built on them can't be read afterwards, so call it when the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +57,13 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """``df`` without its partitioning. An aggregate joined again with its own input would
+    otherwise be joined where it stands, and a hot key of the input would stay one task; so
+    both sides are dealt for the join, and adaptive execution can split what is too large."""
+    return df.hint("rebalance")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -103,25 +121,25 @@ def per_text(
 FILTER_BITS = 24
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of fixed size with a bit set for each long in the one column of ``keys``. A key
     that is not in it is certainly not among them; a join decides about the others. It spares
     the shuffle of most rows where few match, and is right however full it gets."""
-    cell = F.pmod(F.col(keys.columns[0]), F.lit(1 << FILTER_BITS)) + 1
+    cell = F.pmod(F.col(keys.columns[0]), F.lit(1 << bits)) + 1
     rows = (
         keys.select(cell.alias("c"))
         .groupBy(F.bitmap_bucket_number("c").alias("b"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
         .collect()
     )
-    out = np.zeros(((1 << FILTER_BITS) >> 15, 1 << 12), np.uint8)
+    out = np.zeros(((1 << bits) >> 15, 1 << 12), np.uint8)
     for r in rows:
         out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = keys.astype(np.int64) & np.int64((1 << FILTER_BITS) - 1)
+    cell = keys.astype(np.int64, copy=False) & np.int64(8 * len(bits) - 1)
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -146,15 +164,27 @@ def same_document(spark: SparkSession, docs: DataFrame, id_col: str, text_col: s
     docs = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`")))
     flag = fresh(docs, "_may")
     docs = docs.withColumn(flag, may_be_in(spark, bits, F.xxhash64(F.col(f"`{id_col}`"), F.col(own))))
-    m = marks.select(F.col(f"`{id_}`").alias("_mark_id_"), F.col(hash_).alias("_mark_hash_"), *marks.columns[2:])
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_mark_id_")) & (F.col(own) == F.col("_mark_hash_"))
-    hit = docs.where(F.col(flag)).join(m, on, how).drop("_mark_id_", "_mark_hash_")
+    other_id, other_hash = fresh(docs, "_mark_id"), fresh(docs, "_mark_hash")
+    m = marks.select(F.col(f"`{id_}`").alias(other_id), F.col(hash_).alias(other_hash), *marks.columns[2:])
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_hash))
+    hit = docs.where(F.col(flag)).join(m, on, how).drop(other_id, other_hash)
     if how == "left":
         rest = docs.where(~F.col(flag))
         hit = hit.unionByName(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields[2:]]))
     return hit.drop(own, flag)
 
 
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; only rows that may be
+    among them are shuffled, rows without id stay."""
+    bits = key_filter(ids.select(F.xxhash64(ids.columns[0]).alias("k")))
+    flag, gone = fresh(docs, "_may"), fresh(docs, "_gone")
+    marked = docs.withColumn(flag, may_be_in(docs.sparkSession, bits, F.xxhash64(F.col(f"`{id_col}`"))))
+    ids = ids.select(F.col(ids.columns[0]).alias(gone))
+    stay = marked.where(F.col(flag)).join(ids, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    return stay.unionByName(marked.where(~F.col(flag))).drop(flag)
+
+
 def cut_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, removed: str | None = None) -> DataFrame:
     """``docs`` without the spans (id, hash of text, start, end) of their texts, in code points;
     ``removed`` names a column for the sorted spans that were cut."""
@@ -203,11 +233,13 @@ BLOCK_WORDS = 60_000
 
 
 def joined(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words joined by single spaces, with the start and end byte of each."""
+    """The words (which hold no blank) joined by single blanks, with the start and end byte of
+    each."""
     s = b" ".join(words)
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(n + 1) - 1
-    return s, ends - n, ends
+    if not words:
+        return s, np.empty(0, np.int64), np.empty(0, np.int64)
+    blanks = np.flatnonzero(np.frombuffer(s, np.uint8) == 0x20)
+    return s, np.concatenate([[0], blanks + 1]), np.append(blanks, len(s))
 
 
 def range_hashes(s: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -237,7 +269,12 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles of a text (A-Z lowered, words between
     ASCII white space)."""
-    return np.unique(shingle_hashes(text.lower().split(), k))
+    return sorted_distinct(shingle_hashes(text.lower().split(), k))
+
+
+def sorted_distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -267,11 +304,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(dealt_anew(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # large-star keeps u > v; small-star sends the smaller neighbours of u to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(dealt_anew(low), "u")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
             .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
             .where("u <> v")

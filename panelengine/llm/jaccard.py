@@ -7,10 +7,13 @@ connected need no check, and no group is ever expanded into its pairs.
 1. *Scan*: set size and digest per document (equal digests are one set), and a table of
    fixed size that counts shingles by hash cell. It gives every shingle a rank (rare first)
    on which all tasks agree; whatever the rank, the next step loses nothing.
-2. *Candidates*: two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of
-   each in rank order. Documents that share one are gathered into clusters: each task first
-   joins its own documents, so one row per task, shingle and local cluster is shuffled, and
-   connected components does the rest.
+2. *Candidates*: let n be a set's size, o = ceil(0.75 n) the least overlap of a link, and
+   l(n) = max(1, n // 8). Two sets that link share their first l common shingles within the
+   first n - o + l of each in rank order, so a set whose prefix holds fewer than l(o)
+   shingles that stand in another prefix as well links with nothing and is dropped; with it
+   go its shingles, and the test is repeated. Those that remain and share a shingle are
+   gathered into clusters by connected components. Each task first joins its own documents,
+   so a shingle has one row from each task and local cluster, however many documents have it.
 3. *Trees*: the members of a cluster (bins of small clusters) are put in a signature tree.
    Leaves are sets with a bitmap of their shingles, nodes hold the OR of the bitmaps, the
    range of the sizes, and the largest number of shingles that share a bit. The tree is
@@ -32,10 +35,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, connected_components, fresh, mix, prepare, shingle_set, signed, utf8
+from .common import as_table, connected_components, dealt_anew, key_filter, mix, passes, prepare, shingle_set, signed, utf8, without_ids
 
 WORDS = 5
 #: links: DEN * intersection >= NUM * union
@@ -49,8 +52,26 @@ BUFFER = 2_000_000
 TILE = 1000
 
 
+#: shingles that linked sets must share within their prefixes, as a part of their number
+SHARE = 8
+#: bits of the filter of shingles that stand in several prefixes: 16 MB, whatever the corpus
+SHARED_BITS = 27
+#: times that sets are tested against the shingles of those that passed
+ROUNDS = 2
+
+
+def least_overlap(n: int) -> int:
+    return -(-NUM * n // DEN)
+
+
+def shared_needed(n: int) -> int:
+    """Shingles that a set of n and any set it links with share within their prefixes: the
+    smaller of the two has at least ``least_overlap(n)`` shingles."""
+    return max(1, least_overlap(n) // SHARE)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1 if n else 0
+    return n - least_overlap(n) + max(1, n // SHARE) if n else 0
 
 
 # --- 1. scan ------------------------------------------------------------------------------
@@ -62,24 +83,34 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        held: list[np.ndarray] = []
         some = False
+
+        def count():
+            cells[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+            held.clear()
+
         for b in batches:
             n, keys = [], []
             for t in utf8(b.column(1)):
                 h = shingle_set(t, k)
                 n.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
-                np.add.at(cells, h >> np.uint64(64 - CELL_BITS), 1)
+                held.append(h)
                 some = True
+            if sum(map(len, held)) >= BUFFER:
+                count()
             m = len(n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=names,
             )
+        if held:
+            count()
         if some:
             part = TaskContext.get().partitionId()
-            for i, c in enumerate(np.split(cells, _SLICES)):
+            for i, c in enumerate(np.split(np.minimum(cells, 2**32 - 1).astype(np.uint32), _SLICES)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())],
                     names=names,
@@ -160,46 +191,95 @@ def gather(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([t[new], made]), np.concatenate([firsts, members])
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str, k: int, cells: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, cells: np.ndarray, reps: np.ndarray, shared: np.ndarray | None) -> DataFrame:
+    """Without ``shared``: (token, n), the prefix shingles of all documents and how often.
+    With the filter of shingles that stand in several prefixes: (token, doc, need) of the
+    documents that have at least as many of those as a link needs. ``reps`` is a filter of
+    the ids that stand for their set."""
+    spark = docs.sparkSession
+    both = spark.sparkContext.broadcast((cells, reps, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        cells, reps, shared = both.value
         tokens: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        needs: list[np.ndarray] = []
         held = 0
 
         def out():
-            t, d = gather(np.concatenate(tokens), np.concatenate(ids))
-            tokens.clear()
-            ids.clear()
+            t = np.concatenate(tokens)
+            if shared is None:
+                t, n = np.unique(np.sort(t), return_counts=True)
+                columns = [signed(t), n]
+            else:
+                columns = [signed(t), np.concatenate(ids), np.concatenate(needs)]
+            for x in (tokens, ids, needs):
+                x.clear()
             for i in range(0, len(t), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(t[i : i + 100_000])), pa.array(d[i : i + 100_000])], names=["token", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=names)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+            at = np.flatnonzero(passes(reps, b.column(0).to_numpy(zero_copy_only=False)))
+            if not len(at):
+                continue
+            for doc, text in zip(b.column(0).take(pa.array(at)).to_pylist(), utf8(b.column(1).take(pa.array(at))), strict=True):
                 h = shingle_set(text, k)
-                if len(h):
-                    tokens.append(first_shingles(h, cells))
-                    ids.append(np.full(len(tokens[-1]), doc, np.int64))
-                    held += len(tokens[-1])
+                if not len(h):
+                    continue
+                t = first_shingles(h, cells)
+                if shared is not None:
+                    t = t[passes(shared, signed(t))]
+                    need = shared_needed(len(h))
+                    if len(t) < need:
+                        continue
+                    ids.append(np.full(len(t), doc, np.int64))
+                    needs.append(np.full(len(t), need, np.int64))
+                tokens.append(t)
+                held += len(t)
             if held >= BUFFER:
                 yield from out()
                 held = 0
         if held:
             yield from out()
 
+    names = ["token", "n"] if shared is None else ["token", "doc", "need"]
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.where("doc is not null").mapInArrow(run, "token long, doc long")
+    return source.where("doc is not null").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _supported(rows: DataFrame) -> DataFrame:
+    """Rows (token, doc, need) of the documents with as many shared shingles as they need."""
+    for _ in range(ROUNDS):
+        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+        rows = rows.join(dealt_anew(shared), "token")
+        enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("doc")
+        rows = as_table(rows.join(dealt_anew(enough), "doc").select("token", "doc", "need"), "jaccard-supported")
+    return rows
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """(node, component) of documents that share a token; after the tasks' own joins a token
+    has few rows from each task, so the window over it is bounded by the number of tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BUFFER:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
 
-def _clusters(tokens: DataFrame) -> DataFrame:
-    """(node, component) of documents that share a token; a token has few rows from each task,
-    so the window over it is bounded by the number of tasks."""
-    from pyspark.sql import Window
+    def out(held):
+        t = np.concatenate([b.column(0).to_numpy() for b in held])
+        d = np.concatenate([b.column(1).to_numpy() for b in held])
+        t, d = gather(t.view(np.uint64), d)
+        return pa.RecordBatch.from_arrays([pa.array(signed(t)), pa.array(d)], names=["token", "doc"])
 
+    few = rows.select("token", "doc").mapInArrow(run, "token long, doc long")
     edges = (
-        tokens.withColumn("low", F.min("doc").over(Window.partitionBy("token")))
+        few.withColumn("low", F.min("doc").over(Window.partitionBy("token")))
         .where("doc <> low")
         .select(F.col("doc").alias("u"), F.col("low").alias("v"))
         .distinct()
@@ -207,6 +287,15 @@ def _clusters(tokens: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
+def _candidates(docs: DataFrame, id_col: str, text_col: str, k: int, cells: np.ndarray, reps: DataFrame) -> DataFrame:
+    """(doc, cluster) of the documents that may link with others of their cluster."""
+    own = key_filter(reps.select("rep"))
+    counts = _prefixes(docs, id_col, text_col, k, cells, own, None).groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = key_filter(counts.select("token"), SHARED_BITS)
+    rows = as_table(_prefixes(docs, id_col, text_col, k, cells, own, shared), "jaccard-prefixes")
+    return _clusters(_supported(rows)).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+
+
 # --- 3. signature trees -------------------------------------------------------------------
 
 FAN_OUT = 8
@@ -326,12 +415,12 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scan = as_table(_scan(docs, id_col, text_col, k), "jaccard-scan")
     rows = scan.where("slice is null").select("doc", "n", "key")
     cells = _cells(scan)
-    clusters = _clusters(_tokens(docs, id_col, text_col, k, cells)).withColumnRenamed("node", "doc").withColumnRenamed("component", "cluster")
     reps = rows.where("doc is not null and n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
+    clusters = _candidates(docs, id_col, text_col, k, cells, reps)
     # one row per different set of a cluster of two sets or more
     member = clusters.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc")
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = member.join(sizes, "cluster").checkpoint()
+    member = member.join(dealt_anew(sizes), "cluster").checkpoint()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     full = as_table(texts.join(member, "doc").dropDuplicates(["doc", "text"]), "jaccard-members")
 
@@ -354,7 +443,7 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
             labels = big.select("doc").distinct().join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")).checkpoint()
         found = found.union(as_table(_apart(big, labels, k, tiles, tile), "jaccard-pairs"))
     links = as_table(links if found is None else links.union(found), "jaccard-links")
-    sets = rows.join(reps, "key", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    sets = rows.join(dealt_anew(reps), "key", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return sets, links
 
 
@@ -366,7 +455,7 @@ def _apart(big: DataFrame, labels: DataFrame, k: int, tiles, tile: int) -> DataF
     count = count.withColumn("large", F.col("members") > tile)
     rest = count.where("not large").groupBy("cluster").agg(F.sum("members").alias("others"))
     count = count.join(rest, "cluster", "left").fillna(0, ["others"])
-    rows = rows.join(count, ["cluster", "component"]).withColumn(
+    rows = rows.join(dealt_anew(count), ["cluster", "component"]).withColumn(
         "tile",
         F.when(F.col("large"), F.xxhash64("component", F.pmod(F.xxhash64("doc"), tiles("members")))).otherwise(
             F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("component"), tiles("others")))
@@ -393,15 +482,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sets.join(comp, "rep", "left").select(
         F.col("doc").cast(kind).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "doc").cast(kind).alias("component_id"),
+        F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc")).cast(kind).alias("component_id"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, tile: int = TILE) -> DataFrame:
     """``docs`` without those whose component has a smaller id: one document of each group
     stays. Rows without id stay; of rows that repeat an id in a group, all stay."""
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, k, tile)
-    gone = gone.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_")).distinct()
-    spare = fresh(docs, "_gone_")
-    gone = gone.withColumnRenamed("_gone_", spare)
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(spare), "left_anti")
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, k, tile)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return without_ids(docs, id_col, as_table(gone, "jaccard-gone"))
