@@ -85,14 +85,15 @@ def interpolate(indexed: DataFrame, size: int, n: int, cols: list[str], seed: in
 
 def beta_jonk(key: Column, a: float, b: float, seed: int, tries: int = 32) -> Column:
     """Beta(a, b) for a, b < 1 by Johnk's rejection method over ``tries`` hashed pairs;
-    the first accepted pair is used (acceptance ~0.85 per pair for a = b = 0.4)."""
+    the first accepted pair is used (acceptance ~0.85 per pair for a = b = 0.4).  A row whose
+    pairs are all rejected (odds of 0.15 ** tries) is an error, not a made-up draw."""
     cands = []
     for t in range(tries):
         x = F.pow(uniform(key, stream=100 + 2 * t, seed=seed), 1.0 / a)
         y = F.pow(uniform(key, stream=101 + 2 * t, seed=seed), 1.0 / b)
         cands.append(F.when((x + y <= 1.0) & (x + y > 0), x / (x + y)))
     ok = F.filter(F.array(*cands), lambda v: v.isNotNull())
-    return F.coalesce(F.element_at(ok, 1), dbl(0.5))
+    return F.when(F.size(ok) > 0, F.get(ok, F.lit(0))).otherwise(F.raise_error(F.lit("no accepted pair; raise tries")).cast("double"))
 
 
 def mixup(indexed: DataFrame, size: int, n: int, cols: list[str], alpha: float = 0.4, seed: int = 42) -> DataFrame:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import dbl, flag, month_cos, month_sin, round2, safe_div
 from ..spec import DEFAULT_SPEC, PanelSpec
 
-EWM_FRAME = 60  # 0.5**60 < 1e-18: older rows cannot change a rounded value
-
 
 def entity_window(spec: PanelSpec = DEFAULT_SPEC):
     return Window.partitionBy(spec.entity).orderBy(spec.month)
@@ -73,12 +71,12 @@ def lagged_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
 # --- rolling statistics (#50-#52) ----------------------------------------------
 
 def ewm_previous(c: str, spec: PanelSpec = DEFAULT_SPEC, span: float = 3.0, include_current: bool = False) -> Column:
-    """pandas ``x.shift(1).ewm(span).mean()`` (adjust=True): sum(a^i x) / sum(a^i) over the
-    preceding rows, newest first, a = 1 - 2/(span+1).  Bounded frame: the folded list holds at
-    most EWM_FRAME values per row."""
+    """pandas ``x.shift(1).ewm(span).mean()`` (adjust=True): sum(a^i x) / sum(a^i) over all
+    preceding rows, newest first, a = 1 - 2/(span+1).  The list folded for a row holds the
+    entity's months before it, so its size is bounded by the calendar, not by the data."""
     decay = 1.0 - 2.0 / (span + 1.0)
     hi = 0 if include_current else -1
-    frame = entity_window(spec).rowsBetween(-EWM_FRAME, hi)
+    frame = entity_window(spec).rowsBetween(Window.unboundedPreceding, hi)
     values = F.collect_list(F.col(c).cast("double")).over(frame)
     init = F.struct(dbl(0.0).alias("num"), dbl(0.0).alias("den"))
     folded = F.aggregate(

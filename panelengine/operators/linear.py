@@ -222,6 +222,8 @@ def solve_elastic_net(
                 wt[j] = new
             if max_delta <= tol * max(1.0, np.abs(wt).max()):
                 break
+        else:
+            raise RuntimeError(f"coordinate descent did not converge in {max_iter} sweeps (last change {max_delta:.3g})")
         w[:, t] = wt
     coef, intercept = _unshift(mo, w, std, shift_x, shift_y)
     return coef, intercept, mo, std

@@ -17,7 +17,7 @@ RF_PARAMS = {"numTrees": 200, "maxDepth": 10}
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="error").transform(df)
 
 
 def fit_per_target(train: DataFrame, features: list[str], kind: str = "gbt", spec: PanelSpec = DEFAULT_SPEC,

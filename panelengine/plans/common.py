@@ -9,8 +9,8 @@ from ..session import ensure_checkpoint_dir
 from ..sources.tpch import build_panel
 
 
-def panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
-    return build_panel(spark, sf_dir, level)
+def panel(spark: SparkSession, sf_dir: str, level: str = "nation", **options) -> DataFrame:
+    return build_panel(spark, sf_dir, level, **options)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -27,5 +27,11 @@ def features(spark: SparkSession, sf_dir: str, drop: bool = True, split: bool =
     return materialize(engineer_features(panel(spark, sf_dir, level), drop=drop, split=split))
 
 
+def feature_frame(spark: SparkSession, sf_dir: str, drop: bool = True, split: bool = True, level: str = "nation") -> DataFrame:
+    """The engineered panel as a plan, for queries that read it once: columns that they do not
+    use are pruned down to the panel."""
+    return engineer_features(panel(spark, sf_dir, level), drop=drop, split=split)
+
+
 def raw(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
     return nan_to_null(panel(spark, sf_dir, level))

@@ -48,7 +48,7 @@ rn AS (
 ewm AS (
   SELECT a.entity_id, a.month,
          sum(power(0.5, a.rn - b.rn - 1) * b.total_revenue) / sum(power(0.5, a.rn - b.rn - 1)) AS ewm_raw
-  FROM rn a JOIN rn b ON a.entity_id = b.entity_id AND b.rn < a.rn AND b.rn >= a.rn - 60
+  FROM rn a JOIN rn b ON a.entity_id = b.entity_id AND b.rn < a.rn
   GROUP BY a.entity_id, a.month),
 f1 AS (
   SELECT panel.*,

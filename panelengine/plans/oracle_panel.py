@@ -46,7 +46,7 @@ def _product_sql_conditions():
     return out
 
 
-def panel_ctes(level: str = "nation") -> str:
+def panel_ctes(level: str = "nation", drop_open_month: bool = False) -> str:
     """CTE list ending in a relation named ``panel``."""
     prods = _product_sql_conditions()
     prod_cm = ",\n".join(
@@ -77,12 +77,12 @@ def panel_ctes(level: str = "nation") -> str:
   SELECT CAST(c_custkey AS BIGINT) AS entity_id,
          CASE WHEN r_name IN ({_q(URBAN_REGIONS)}) THEN 'urban' ELSE 'suburban' END AS studio_location
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+    open_month = "\n  WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders)" if drop_open_month else ""
     return f"""
 o AS (
   SELECT o_orderkey, o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
          CAST(o_totalprice AS DECIMAL(14,2)) AS price, o_orderpriority, o_orderstatus
-  FROM orders
-  WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders)),
+  FROM orders{open_month}),
 per_order AS (
   SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS qty FROM lineitem GROUP BY l_orderkey),
 ol AS (
@@ -147,8 +147,8 @@ panel AS (
 """
 
 
-def with_panel(body: str, level: str = "nation", extra_ctes: str = "") -> str:
-    ctes = panel_ctes(level)
+def with_panel(body: str, level: str = "nation", extra_ctes: str = "", drop_open_month: bool = False) -> str:
+    ctes = panel_ctes(level, drop_open_month)
     if extra_ctes:
         ctes = ctes.rstrip() + ",\n" + extra_ctes.strip()
     return f"WITH {ctes.strip()}\n{body.strip()}"

@@ -9,7 +9,7 @@ from ..functions.scalar import round2
 from ..operators import features as FE
 from ..operators import history as H
 from .catalog import register
-from .common import features, panel, raw
+from .common import feature_frame as features, panel, raw
 from .oracle_features import ENGINEERED_COLUMNS, FEATURE_COLUMNS, q, select_cols, with_features
 from .oracle_panel import r2, with_panel
 
@@ -43,6 +43,14 @@ def q_scan_panel(spark, sf):
     )
 
 
+@register(
+    "panel_without_open_month",
+    with_panel("SELECT entity_id, month, total_revenue, total_members, retention_rate, staff_count FROM panel", drop_open_month=True),
+)
+def q_panel_without_open_month(spark, sf):
+    return panel(spark, sf, drop_open_month=True).select("entity_id", "month", "total_revenue", "total_members", "retention_rate", "staff_count")
+
+
 @register("entity_month_panel", with_panel("SELECT * FROM panel"))
 def q_entity_month_panel(spark, sf):
     return panel(spark, sf)

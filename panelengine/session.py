@@ -35,13 +35,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset
-    (local tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what the application
+    has set with ``setCheckpointDir``. A single-process local master may do without; it gets
+    a scratch folder. On a cluster a machine's own folder would be wrong, so there it raises."""
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not current:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="panelengine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current
 
 

@@ -3,8 +3,8 @@
 Mapping (one row per entity and calendar month):
 
 * entity            ``c_nationkey`` (level ``nation``) or ``o_custkey`` (level ``customer``)
-* month             month of ``o_orderdate``; the month holding the latest order is incomplete
-                    and left out
+* month             month of ``o_orderdate`` (``drop_open_month`` leaves out the month of the
+                    latest order, which may be incomplete)
 * total_revenue     sum of ``o_totalprice`` (summed as DECIMAL, then DOUBLE)
 * total_members     distinct customers with an order in the month
 * new_members       customers whose first order month is this month
@@ -51,15 +51,6 @@ STATUS_ORDER = ("F", "O", "P")
 CLASS_PACK_SIZES = ((1, 1), (2, 3), (4, 5), (6, None))
 
 
-def complete_before(orders: DataFrame):
-    """First day of the month holding the latest order (that month is incomplete).
-
-    One scalar aggregate; returned as a Python date so the filter is a literal that
-    reaches the parquet scan."""
-    row = orders.agg(F.trunc(F.max("o_orderdate"), "month").alias("m")).first()
-    return row["m"]
-
-
 def _product_conditions():
     """(product, condition on an order row) pairs."""
     prio = F.col("o_orderpriority")
@@ -82,7 +73,7 @@ def _sum_if(cond, value):
     return F.sum(F.when(cond, value).otherwise(F.lit(0)))
 
 
-def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
+def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation", drop_open_month: bool = False) -> DataFrame:
     """Raw entity-month panel (the multi-entity raw panel of the reference)."""
     orders = read_table(spark, sf_dir, "orders")
     lineitem = read_table(spark, sf_dir, "lineitem")
@@ -90,8 +81,10 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> Data
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
 
-    cutoff = complete_before(orders)
-    o = orders.where(F.col("o_orderdate") < F.lit(cutoff)).select(
+    if drop_open_month:
+        latest = orders.agg(F.trunc(F.max("o_orderdate"), "month").alias("_open_month"))
+        orders = orders.crossJoin(F.broadcast(latest)).where(F.col("o_orderdate") < F.col("_open_month"))  # one row
+    o = orders.select(
         "o_orderkey",
         "o_custkey",
         F.trunc("o_orderdate", "month").alias("month"),
@@ -100,14 +93,16 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> Data
         "o_orderstatus",
     )
 
-    # one row per order: line count and quantity (map-side partial aggregation)
+    # one row per order: line count, quantity and its distinct suppliers, so the line items
+    # are read and shuffled once
     per_order = lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_items"), F.sum("l_quantity").alias("qty")
+        F.count(F.lit(1)).alias("n_items"), F.sum("l_quantity").alias("qty"), F.collect_set("l_suppkey").alias("suppliers")
     )
     ol = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left").select(
         o["*"],
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("qty", F.lit(0.0)).alias("qty"),
+        "suppliers",
     )
 
     price = F.col("price")
@@ -131,6 +126,7 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> Data
         F.sum(F.when(prio == CLASS_PACK_PRIORITY, price).otherwise(dec0)).alias("class_pack_revenue"),
         F.sum(F.when(prio == RETAIL_PRIORITY, price).otherwise(dec0)).alias("retail_revenue"),
         F.sum(F.when(prio == ADDON_PRIORITY, price).otherwise(dec0)).alias("addon_revenue"),
+        F.array_distinct(F.flatten(F.collect_list("suppliers"))).alias("suppliers"),
         *product_aggs,
     )
     wc = Window.partitionBy("o_custkey").orderBy("month")
@@ -147,16 +143,16 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> Data
     else:
         raise ValueError(f"unknown panel level {level!r}")
 
-    # distinct suppliers per (entity, month): line items carry the order's customer/month
-    lo = lineitem.select("l_orderkey", "l_suppkey").join(
-        o.select("o_orderkey", "o_custkey", "month"), F.col("l_orderkey") == F.col("o_orderkey")
+    # read twice (sums, and suppliers below): one row per customer and month, written once
+    ensure_checkpoint_dir(spark)
+    cm = cm.checkpoint()
+    # distinct suppliers per (entity, month); the entity is known, so equal rows combine map-side
+    staff = (
+        cm.select("entity_id", "month", F.explode("suppliers").alias("supplier"))
+        .distinct()
+        .groupBy("entity_id", "month")
+        .agg(F.count(F.lit(1)).alias("staff_count"))
     )
-    cs = lo.groupBy("o_custkey", "month", "l_suppkey").agg(F.count(F.lit(1)).alias("_n"))
-    if level == "nation":
-        cs = cs.join(cust, cs.o_custkey == cust.c_custkey)
-    else:
-        cs = cs.withColumn("entity_id", F.col("o_custkey").cast("bigint"))
-    staff = cs.groupBy("entity_id", "month").agg(F.countDistinct("l_suppkey").alias("staff_count"))
 
     money_cols = [
         "membership_revenue",
@@ -182,8 +178,7 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> Data
     )
     # The tier step reads this table twice (per-row windows and the mean over entities);
     # a reliable checkpoint keeps the second read from re-aggregating the order tables.
-    ensure_checkpoint_dir(spark)
-    em = em.checkpoint(eager=True)
+    em = em.checkpoint()
 
     we = Window.partitionBy("entity_id").orderBy("month")
     contiguous = F.lag("month").over(we) == F.add_months("month", -1)
