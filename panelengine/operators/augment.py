@@ -2,7 +2,7 @@
 
 Randomness is a seeded hash of (draw id, stream, seed), so a run gives the same rows
 whatever the partitioning or executor losses.  Draws address rows through a dense 0..N-1
-index built from per-partition counts (no global sort, no single task): a draws table of
+index in the order of a key (range partitions and their offsets, no single task): a draws table of
 exactly ``n`` ids (``spark.range``, distributed) is joined to the indexed rows.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dbl
+from ..spec import DEFAULT_SPEC
+from .ranks import numbered
 
 TWO53 = float(2**53)
 
@@ -31,22 +33,11 @@ def normal(*cols: Column, stream: int = 0, seed: int = 42) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(dbl(2 * math.pi) * u2)
 
 
-def dense_index(df: DataFrame, name: str = "row_idx") -> tuple[DataFrame, int]:
-    """0..N-1 row ids: per-partition counts (one row per partition) give offsets, added to
-    the position inside the partition.  ``df`` must be deterministic (read from storage /
-    a checkpoint)."""
-    x = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = sorted(x.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = [], 0
-    for pid, n in counts:
-        offsets.append((int(pid), total))
-        total += int(n)
-    spark = df.sparkSession
-    off = spark.createDataFrame(offsets, "_pid int, _off long")  # one row per partition
-    out = x.join(F.broadcast(off), "_pid").withColumn(
-        name, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    )
-    return out.drop("_pid", "_mid", "_off"), total
+def dense_index(df: DataFrame, order: list[str], name: str = "row_idx") -> tuple[DataFrame, int]:
+    """0..N-1 row ids in ``order``, which must tell rows apart: the ids, and with them all draws,
+    do not depend on how the rows are stored or partitioned."""
+    out = numbered(df, [], order, name)
+    return out, out.count()
 
 
 def _draws(spark, n: int, size: int, stream: int, seed: int, name: str = "src") -> DataFrame:
@@ -120,10 +111,10 @@ def _coprime(n: int, seed: int) -> int:
 
 
 def augment(train: DataFrame, cols: list[str], factor: float = 1.5, methods=("noise", "bootstrap", "interpolate"),
-            noise_level: float = 0.02, seed: int = 42) -> DataFrame:
+            noise_level: float = 0.02, seed: int = 42, order: tuple = (DEFAULT_SPEC.entity, DEFAULT_SPEC.month)) -> DataFrame:
     """Original rows + int(n * factor) - n synthetic rows split equally over the methods,
     labelled ``split = 'train'`` with the generating method."""
-    indexed, size = dense_index(train.select(*cols))
+    indexed, size = dense_index(train.select(*dict.fromkeys([*order, *cols])), list(order))
     n_per = (int(size * factor) - size) // len(methods)
     parts = [indexed.select(F.lit("original").alias("method"), *cols)]
     for k, m in enumerate(methods):

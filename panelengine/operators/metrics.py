@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import dbl, round2
 from ..spec import DEFAULT_SPEC, REVENUE_TARGETS, TARGETS, PanelSpec
-from .quality import exact_quantiles, quantile, stack
+from .quality import stack
+from .ranks import numbered, quantiles
 
 KEYS = ("entity_id", "month")
 
@@ -83,10 +84,7 @@ def audit_predictions(wide: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFr
             a.alias(f"actual_{t}"), p.alias(f"predicted_{t}"), (a - p).alias(f"residual_{t}"),
             F.abs(a - p).alias(f"abs_error_{t}"), (F.abs(F.try_divide(a - p, a)) * 100).alias(f"pct_error_{t}"),
         ]
-    w = Window.partitionBy("model", "dataset").orderBy(spec.entity, spec.month)
-    # row numbering per (model, dataset) is an ordered window over each dataset: used on
-    # evaluation outputs, whose size is that of the scored split
-    return wide.select(*cols).withColumn("sample_index", F.row_number().over(w) - 1)
+    return numbered(wide.select(*cols), ["model", "dataset"], [spec.entity, spec.month], "sample_index")
 
 
 # --- regression metrics (#97-#100) ------------------------------------------------------
@@ -189,7 +187,6 @@ def business_metrics(wide: DataFrame, by=("model", "dataset"), spec: PanelSpec =
 
 
 def horizon_breakdown(wide: DataFrame, by=("model", "dataset")) -> DataFrame:
-    ex = exact_quantiles()
     body = ", ".join(f"'Month_{i + 1}', `actual_{t}`, `predicted_{t}`" for i, t in enumerate(REVENUE_TARGETS))
     long = wide.selectExpr(*by, f"stack(3, {body}) AS (horizon, actual, predicted)")
     long = long.select(
@@ -197,16 +194,22 @@ def horizon_breakdown(wide: DataFrame, by=("model", "dataset")) -> DataFrame:
         (F.abs(F.try_divide(F.col("predicted") - F.col("actual"), F.col("actual"))) * 100).alias("pe"),
         ((F.col("predicted") - F.col("actual")) ** 2).alias("se"),
     )
-    return long.groupBy(*by, "horizon").agg(
+    keys = [*by, "horizon"]
+    cells = F.explode(F.array(F.struct(F.lit("ae").alias("m"), F.col("ae").alias("v")), F.struct(F.lit("pe").alias("m"), F.col("pe").alias("v")))).alias("x")
+    medians = quantiles(long.select(*keys, cells).select(*keys, "x.m", "x.v"), [*keys, "m"], "v", [0.5])
+    medians = medians.groupBy(*keys).agg(
+        round2(F.max(F.when(F.col("m") == "ae", F.col("q0"))), 2).alias("median_abs_error"),
+        round2(F.max(F.when(F.col("m") == "pe", F.col("q0"))), 2).alias("median_pct_error"),
+    )
+    out = long.groupBy(*keys).agg(
         round2(F.avg("ae"), 2).alias("mean_abs_error"),
-        round2(quantile("ae", 0.5, ex), 2).alias("median_abs_error"),
         round2(F.max("ae"), 2).alias("max_abs_error"),
         round2(F.avg("pe"), 2).alias("mean_pct_error"),
-        round2(quantile("pe", 0.5, ex), 2).alias("median_pct_error"),
         round2(F.avg((F.col("pe") <= 5.0).cast("double")) * 100, 2).alias("within_5pct"),
         round2(F.avg((F.col("pe") <= 10.0).cast("double")) * 100, 2).alias("within_10pct"),
         round2(F.sqrt(F.avg("se")), 2).alias("rmse"),
     )
+    return out.join(medians, keys)
 
 
 def quarterly_metrics(wide: DataFrame, by=("model", "dataset")) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import display_name, round2
 from ..spec import DEFAULT_SPEC, PRODUCT_CATEGORY, PRODUCT_LEVERS, PRODUCT_NAMES, PanelSpec, product_revenue_column
-from .quality import exact_quantiles, quantile, safe_corr, stack
+from .quality import safe_corr, stack
+from .ranks import column_quantiles
 
 
 def _pair_corr(a: str, b: str):
@@ -32,17 +33,17 @@ def corr_product_revenue(df: DataFrame, metrics=("revenue_month_1", "revenue_mon
 
 
 def product_stats(df: DataFrame) -> DataFrame:
-    ex = exact_quantiles()
     aggs = []
     for i, p in enumerate(PRODUCT_NAMES):
         c = product_revenue_column(p)
         aggs += [
             round2(F.avg(c), 2).alias(f"mean{i}"), round2(F.stddev_samp(c), 2).alias(f"std{i}"),
-            round2(quantile(c, 0.5, ex), 2).alias(f"med{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
+            F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
         ]
-    one = df.agg(*aggs)
+    medians = column_quantiles(df, [product_revenue_column(p) for p in PRODUCT_NAMES], [0.5])
+    one = df.agg(*aggs).crossJoin(medians)  # one row each
     return stack(
-        one, [(f"'{p}'", f"mean{i}", f"std{i}", f"med{i}", f"min{i}", f"max{i}") for i, p in enumerate(PRODUCT_NAMES)],
+        one, [(f"'{p}'", f"mean{i}", f"std{i}", f"rint(q0_{i} * 100) / 100", f"min{i}", f"max{i}") for i, p in enumerate(PRODUCT_NAMES)],
         ["product", "mean", "std", "median", "min", "max"],
     )
 

@@ -8,11 +8,12 @@ use the entity window, never a global ordering.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dbl, round2, safe_div
 from ..spec import DEFAULT_SPEC, EXPECTED_POSITIVE_CORR, VALIDATION_RANGES, PanelSpec
+from .ranks import column_quantiles
 
 NUMERIC = ("integer", "long", "double", "float", "short", "decimal", "byte")
 
@@ -31,34 +32,20 @@ def stack(df_one_row: DataFrame, rows: list[tuple], names: list[str]) -> DataFra
     return df_one_row.selectExpr(f"stack({len(rows)}, {body}) AS ({', '.join(names)})")
 
 
-def exact_quantiles(spark: SparkSession | None = None) -> bool:
-    """Exact (interpolated) quantiles hold every distinct value of a group in one buffer;
-    on very large panels set ``spark.panelengine.exactQuantiles=false`` to use
-    ``percentile_approx`` instead."""
-    spark = spark or SparkSession.getActiveSession()
-    return spark is None or spark.conf.get("spark.panelengine.exactQuantiles", "true") == "true"
-
-
-def quantile(c, q: float, exact: bool = True):
-    return F.percentile(F.col(c), F.lit(q)) if exact else F.percentile_approx(F.col(c), F.lit(q), 10000)
-
-
 # --- profile (#71) ------------------------------------------------------------
 
 
 def profile_numeric(df: DataFrame, cols=("total_revenue", "total_members", "retention_rate")) -> DataFrame:
-    ex = exact_quantiles()
     aggs = []
     for c in cols:
         aggs += [
             F.min(c).cast("double").alias(f"min_{c}"),
             F.max(c).cast("double").alias(f"max_{c}"),
             round2(F.avg(c), 4).alias(f"mean_{c}"),
-            round2(quantile(c, 0.5, ex), 4).alias(f"median_{c}"),
             round2(F.stddev_samp(c), 4).alias(f"std_{c}"),
         ]
-    one = df.agg(*aggs)
-    rows = [(f"'{c}'", f"min_{c}", f"max_{c}", f"mean_{c}", f"median_{c}", f"std_{c}") for c in cols]
+    one = df.agg(*aggs).crossJoin(column_quantiles(df, list(cols), [0.5]))  # one row each
+    rows = [(f"'{c}'", f"min_{c}", f"max_{c}", f"mean_{c}", f"rint(q0_{i} * 10000) / 10000", f"std_{c}") for i, c in enumerate(cols)]
     return stack(one, rows, ["column", "min_value", "max_value", "mean_value", "median_value", "std_value"])
 
 
@@ -144,18 +131,14 @@ def revenue_consistency(df: DataFrame, tolerance: float = 1000.0) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, cols=None, k: float = 3.0, warn_pct: float = 2.0) -> DataFrame:
     cols = cols or numeric_columns(df)
-    ex = exact_quantiles()
-    qs = df.agg(
-        *[quantile(c, 0.25, ex).alias(f"q1_{i}") for i, c in enumerate(cols)],
-        *[quantile(c, 0.75, ex).alias(f"q3_{i}") for i, c in enumerate(cols)],
-    )
+    qs = column_quantiles(df, cols, [0.25, 0.75])
     # second pass against the one-row quantile table (broadcast: exactly one row)
     joined = df.crossJoin(F.broadcast(qs))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        iqr = F.col(f"q3_{i}") - F.col(f"q1_{i}")
-        lo = F.col(f"q1_{i}") - k * iqr
-        hi = F.col(f"q3_{i}") + k * iqr
+        iqr = F.col(f"q1_{i}") - F.col(f"q0_{i}")
+        lo = F.col(f"q0_{i}") - k * iqr
+        hi = F.col(f"q1_{i}") + k * iqr
         aggs += [
             F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"out_{i}"),
             F.first(lo).alias(f"lo_{i}"),

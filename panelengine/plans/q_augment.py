@@ -13,13 +13,13 @@ from .common import features
 def _train(spark, sf):
     feat = features(spark, sf)
     cols = FE.feature_columns(feat) + list(FE.DEFAULT_SPEC.targets)
-    train = feat.where(F.col("split") == "train").select(*cols)
+    train = feat.where(F.col("split") == "train").select("entity_id", "month", *cols)
     return train, cols
 
 
 def _indexed(spark, sf):
     train, cols = _train(spark, sf)
-    idx, n = AU.dense_index(train)
+    idx, n = AU.dense_index(train, ["entity_id", "month"])
     return idx, n, cols
 
 

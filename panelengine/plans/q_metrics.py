@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..spec import REVENUE_TARGETS, TARGETS
+from ..sources.sinks import roundtrip
 from .catalog import register
 from .common import features
 from .oracle_features import with_features
@@ -85,7 +86,7 @@ def _audit_sql():
 
 @register("sink_audit_predictions", _audit_sql())
 def q_sink_audit_predictions(spark, sf):
-    return M.audit_predictions(M.baseline_last_value(features(spark, sf)))
+    return roundtrip(M.audit_predictions(M.baseline_last_value(features(spark, sf))), "audit", ["dataset"])
 
 
 # ---------------------------------------------------------------- regression metrics
