@@ -9,15 +9,14 @@ from ..functions.scalar import confidence_level, horizon_degradation, pct_change
 from ..operators import products as P
 from ..operators import whatif as WI
 from ..operators.history import history_context
-from ..spec import LEVER_STRENGTH_TARGETS, LEVERS, PRODUCT_CATEGORY, PRODUCT_LEVERS, PRODUCT_NAMES, product_revenue_column
+from ..spec import LEVER_STRENGTH_TARGETS, PRODUCT_CATEGORY, PRODUCT_LEVERS, PRODUCT_NAMES, product_revenue_column
 from .catalog import register
 from .common import features, raw
 from .oracle_features import with_features
 from .oracle_panel import r2, with_panel
+from .oracle_whatif import FALLBACK_MONTH, LV, PRESENT, THRESHOLDS, WHOLE, B, feature_sql, wsql
 from .q_quality import corr_sql
 
-LV = list(LEVERS)
-PRESENT = {"retention_rate", "avg_ticket_price", "class_attendance_rate", "new_members", "upsell_rate", "total_classes_held", "total_members"}
 
 
 def _req(spark, sf):
@@ -30,45 +29,6 @@ def _filled(spark, sf):
     return WI.clip_levers(WI.fill_missing_levers(WI.with_history(req, p)))
 
 
-# --------------------------------------------------------------------------- SQL pieces
-
-_REQ = "req AS (SELECT entity_id AS request_id, entity_id, " + ", ".join(
-    f"CAST({lv} AS DOUBLE) AS in_{lv}" if lv in PRESENT else f"CAST(NULL AS DOUBLE) AS in_{lv}" for lv in LV
-) + ", 6 AS projection_months FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY month DESC) AS latest FROM panel) WHERE latest = 1)"
-
-_HIST = (
-    "hc AS (SELECT entity_id, count(*) AS n_hist, max_by(total_revenue, month) AS last_revenue, max_by(total_members, month) AS last_members, "
-    "max(month) AS last_month, avg(CASE WHEN rk <= 3 THEN retention_rate END) AS tail3_avg_retention, "
-    "avg(CASE WHEN rk <= 3 THEN total_revenue END) AS tail3_avg_revenue, avg(CASE WHEN rk <= 3 THEN class_attendance_rate END) AS tail3_avg_attendance, "
-    "stddev_samp(CASE WHEN rk <= 3 THEN total_revenue END) AS tail3_std_revenue, "
-    "sum(power(0.5, rk - 1) * total_revenue) / sum(power(0.5, rk - 1)) AS ewm_revenue, avg(total_revenue) AS mean_revenue, "
-    + ", ".join(f"avg({lv}) AS hist_{lv}" for lv in LV if lv in PRESENT)
-    + " FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY month DESC) AS rk FROM panel) WHERE rk <= 12 GROUP BY entity_id)"
-)
-
-
-def _fill_expr(lv):
-    lo, hi, default, is_int = LEVERS[lv]
-    hist = f"hist_{lv}" if lv in PRESENT else "CAST(NULL AS DOUBLE)"
-    return f"coalesce(in_{lv}, {hist}, CAST({float(default)} AS DOUBLE))"
-
-
-def _clip_expr(lv):
-    lo, hi, default, is_int = LEVERS[lv]
-    x = f"least(greatest({_fill_expr(lv)}, CAST({float(lo)} AS DOUBLE)), CAST({float(hi)} AS DOUBLE))"
-    return f"round_even({x}, 0)" if is_int else x
-
-
-_FILLED = "rf AS (SELECT req.*, hc.* EXCLUDE (entity_id), " + ", ".join(f"{_fill_expr(lv)} AS f_{lv}" for lv in LV) + ", " + ", ".join(
-    f"{_clip_expr(lv)} AS c_{lv}" for lv in LV
-) + " FROM req LEFT JOIN hc USING (entity_id))"
-
-
-def wsql(body: str, extra: str = "") -> str:
-    ctes = ",\n".join([_REQ, _HIST, _FILLED] + ([extra] if extra else []))
-    return with_panel(body, extra_ctes=ctes)
-
-
 # --------------------------------------------------------------------------- requests
 
 
@@ -76,9 +36,9 @@ def wsql(body: str, extra: str = "") -> str:
     "validate_levers",
     wsql(
         "SELECT request_id, concat_ws(',', " + ", ".join(
-            f"CASE WHEN in_{lv} IS NOT NULL AND (in_{lv} < {LEVERS[lv][0]} OR in_{lv} > {LEVERS[lv][1]}) THEN '{lv}' END" for lv in LV
+            f"CASE WHEN in_{lv} IS NOT NULL AND (in_{lv} < {B[lv][0]} OR in_{lv} > {B[lv][1]}) THEN '{lv}' END" for lv in LV
         ) + ", CASE WHEN projection_months < 1 OR projection_months > 12 THEN 'projection_months' END) AS violations, "
-        "NOT (" + " OR ".join(f"coalesce(in_{lv} < {LEVERS[lv][0]} OR in_{lv} > {LEVERS[lv][1]}, false)" for lv in LV)
+        "NOT (" + " OR ".join(f"coalesce(in_{lv} < {B[lv][0]} OR in_{lv} > {B[lv][1]}, false)" for lv in LV)
         + " OR projection_months < 1 OR projection_months > 12) AS valid FROM req"
     ),
 )
@@ -98,7 +58,7 @@ def q_clip_to_bounds(spark, sf):
     return _filled(spark, sf).select("request_id", "clipped.*")
 
 
-_INTS = [lv for lv in LV if LEVERS[lv][3]]
+_INTS = [lv for lv in LV if B[lv][3]]
 
 
 @register("int_levers", wsql("SELECT request_id, " + ", ".join(f"CAST(c_{lv} AS BIGINT) AS {lv}" for lv in _INTS) + " FROM rf"))
@@ -122,57 +82,25 @@ def q_requests_join_history(spark, sf):
     )
 
 
-def _req_feature_sql():
-    c = lambda n: f"c_{n}"
-    m, r, price, att, classes, util, ups = (c("total_members"), c("retention_rate"), c("avg_ticket_price"), c("class_attendance_rate"),
-                                            c("total_classes_held"), c("staff_utilization_rate"), c("upsell_rate"))
-    memb = f"({m} * {price})"
-    cp = f"({classes} * 20 * {att} * 0.2 * 15)"
-    ret = f"({m} * 10 * 0.3)"
-    tot = f"({memb} + {cp} + {ret})"
-    staff = f"greatest(5, CAST(floor({m} / 25) AS BIGINT))"
-    has = "(n_hist IS NOT NULL AND n_hist > 0)"
-    enough = "(n_hist IS NOT NULL AND n_hist >= 3)"
-    prev_rev = f"(CASE WHEN {has} THEN last_revenue ELSE {tot} END)"
-    prev_mem = f"(CASE WHEN {has} THEN last_members ELSE {m} END)"
-    feats = {
-        "churned_members": f"CAST(floor({m} * (1 - {r})) AS BIGINT)", "total_revenue": tot, "staff_count": staff,
-        "total_class_attendance": f"CAST(floor({classes} * 20 * {att}) AS BIGINT)",
-        "revenue_per_member": f"{tot} / greatest({m}, 1.0)", "staff_per_member": f"{staff} / greatest({m}, 1.0)",
-        "estimated_ltv": f"{price} * {r} * 12", "membership_revenue_pct": f"{memb} / greatest({tot}, 1.0)",
-        "prev_month_revenue": prev_rev, "3m_avg_revenue": f"CASE WHEN {enough} THEN tail3_avg_revenue ELSE {prev_rev} END",
-        "3m_std_revenue": f"CASE WHEN {enough} THEN tail3_std_revenue ELSE 0.0 END",
-        "revenue_momentum": f"CASE WHEN {enough} THEN ewm_revenue ELSE {prev_rev} END",
-        "mom_revenue_growth": f"CASE WHEN {has} THEN ({tot} - {prev_rev}) / greatest({prev_rev}, 1.0) ELSE 0.0 END",
-        "mom_member_growth": f"CASE WHEN {has} THEN ({m} - {prev_mem}) / greatest({prev_mem}, 1.0) ELSE 0.0 END",
-        "staff_util_x_members": f"{util} * {m}", "upsell_x_members": f"{ups} * {m}",
-        "month_index": "month(last_month)",
-    }
-    return wsql("SELECT request_id, " + ", ".join(f"{r2(v, 2)} AS \"{k}\"" if k not in ("churned_members", "staff_count", "total_class_attendance", "month_index") else f"{v} AS \"{k}\"" for k, v in feats.items()) + " FROM rf"), list(feats)
-
-
-_RF_SQL, _RF_COLS = _req_feature_sql()
-
-
-@register("request_features", _RF_SQL)
+def _request_feature_sql(history: bool) -> str:
+    cols = ", ".join(f'{v} AS "{k}"' if k in WHOLE else f'{r2(v, 4)} AS "{k}"' for k, v in feature_sql("c_", history).items())
+    return wsql(f"SELECT request_id, {cols} FROM rf")
+
+
+def _request_features(f):
+    f = WI.request_features(f, month_without_history=FALLBACK_MONTH)
+    return f.select("request_id", *[F.col(c).cast("bigint").alias(c) if c in WHOLE else round2(F.col(c), 4).alias(c) for c in feature_sql()])
+
+
+@register("request_features", _request_feature_sql(True))
 def q_request_features(spark, sf):
-    f = WI.request_features(_filled(spark, sf))
-    ints = ("churned_members", "staff_count", "total_class_attendance", "month_index")
-    return f.select("request_id", *[F.col(c) if c in ints else round2(F.col(c), 2).alias(c) for c in _RF_COLS])
+    return _request_features(_filled(spark, sf))
 
 
-@register(
-    "request_features_no_history",
-    wsql(
-        f"SELECT request_id, {r2('c_total_members * c_avg_ticket_price + c_total_classes_held * 20 * c_class_attendance_rate * 0.2 * 15 + c_total_members * 10 * 0.3', 2)} AS prev_month_revenue, "
-        "c_total_members AS prev_month_members, 0.0 AS mom_revenue_growth, CAST(0.0 AS DOUBLE) AS \"3m_std_revenue\" FROM rf"
-    ),
-)
+@register("request_features_no_history", _request_feature_sql(False))
 def q_request_features_no_history(spark, sf):
     # the entity's history is dropped: every lag / rolling input falls back to the request itself
-    g = WI.request_features(_filled(spark, sf).drop("n_hist").withColumn("n_hist", F.lit(None).cast("long")))
-    return g.select("request_id", round2("prev_month_revenue", 2).alias("prev_month_revenue"), F.col("total_members").alias("prev_month_members"),
-                    F.col("mom_revenue_growth"), F.col("3m_std_revenue"))
+    return _request_features(_filled(spark, sf).withColumn("n_hist", F.lit(None).cast("long")))
 
 
 @register(
@@ -189,8 +117,8 @@ def q_lever_strength(spark, sf):
 
 def _feas_sql():
     parts = []
-    for lv, (e, mo, h) in WI.FEASIBILITY_THRESHOLDS.items():
-        lo, hi, _, is_int = LEVERS[lv]
+    for lv, (e, mo, h) in THRESHOLDS.items():
+        lo, hi, _, is_int = B[lv]
         new = f"least(greatest(c_{lv} * 1.1, {float(lo)}), {float(hi)})"
         if is_int:
             new = f"round_even({new}, 0)"
@@ -231,7 +159,7 @@ def q_lever_quality(spark, sf):
 )
 def q_horizon_degradation(spark, sf):
     _, req = _req(spark, sf)
-    x = req.select("request_id", F.explode(F.sequence(F.lit(1), F.col("projection_months"))).alias("h"))
+    x = req.select("request_id", F.explode(WI.month_numbers(F.col("projection_months"))).alias("h"))
     return x.select("request_id", "h", horizon_degradation("h").alias("factor"))
 
 
@@ -245,7 +173,7 @@ def q_horizon_degradation(spark, sf):
 )
 def q_confidence_level(spark, sf):
     _, req = _req(spark, sf)
-    x = req.select("request_id", F.explode(F.sequence(F.lit(1), F.col("projection_months"))).alias("h"))
+    x = req.select("request_id", F.explode(WI.month_numbers(F.col("projection_months"))).alias("h"))
     conf = F.lit(0.85) - 0.05 * (F.col("h") - 1)
     return x.select("request_id", "h", conf.cast("double").alias("confidence"), confidence_level(conf, F.col("h")).alias("level"))
 
@@ -410,7 +338,7 @@ _SIMPLE_RULES = {
 def _simple_sql():
     parts = []
     for lv in LV:
-        lo, hi, _, _ = LEVERS[lv]
+        lo, hi, _, _ = B[lv]
         hist = f"hist_{lv}" if lv in PRESENT else "CAST(NULL AS DOUBLE)"
         if lv in _SIMPLE_RULES:
             src, cond, yes, no, conf = _SIMPLE_RULES[lv]
@@ -433,7 +361,7 @@ def q_lever_prediction_simple(spark, sf):
     f = _filled(spark, sf)
     rows = []
     for lv in LV:
-        lo, hi, _, _ = LEVERS[lv]
+        lo, hi, _, _ = B[lv]
         hist = F.col(f"hist_{lv}") if f"hist_{lv}" in f.columns else F.lit(None).cast("double")
         val, conf = hist, F.lit(0.65)
         if lv in _SIMPLE_RULES:

@@ -66,10 +66,10 @@ LEVER_PRIORITY = {
     "retention_rate": 1,
     "avg_ticket_price": 2,
     "new_members": 3,
-    "class_attendance_rate": 4,
-    "upsell_rate": 5,
-    "total_classes_held": 6,
-    "staff_utilization_rate": 7,
+    "upsell_rate": 4,
+    "class_attendance_rate": 5,
+    "staff_utilization_rate": 6,
+    "total_classes_held": 7,
     "total_members": 8,
 }
 
@@ -78,10 +78,10 @@ LEVER_TIMELINE_WEEKS = {
     "retention_rate": 8,
     "avg_ticket_price": 4,
     "new_members": 6,
-    "class_attendance_rate": 3,
-    "upsell_rate": 2,
-    "total_classes_held": 2,
+    "upsell_rate": 3,
+    "class_attendance_rate": 2,
     "staff_utilization_rate": 2,
+    "total_classes_held": 2,
     "total_members": 12,
 }
 
