@@ -34,6 +34,7 @@ def load_all():
         q_trees,
         q_augment,
         q_sinks,
+        q_more,
     )
 
     return QUERIES, ORACLE

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import confidence_level, horizon_degradation, pct_change, round2
 from ..operators import products as P
 from ..operators import whatif as WI
-from ..operators.history import history_context
+from ..operators.features import engineer_features
 from ..spec import LEVER_STRENGTH_TARGETS, PRODUCT_CATEGORY, PRODUCT_LEVERS, PRODUCT_NAMES, product_revenue_column
 from .catalog import register
-from .common import features, raw
+from .common import features, materialize, raw
 from .oracle_features import with_features
 from .oracle_panel import r2, with_panel
 from .oracle_whatif import FALLBACK_MONTH, LV, PRESENT, THRESHOLDS, WHOLE, B, feature_sql, wsql
@@ -268,16 +268,20 @@ def q_topk_products(spark, sf):
 
 @register(
     "display_name",
-    with_panel("SELECT product, category, display_name FROM (VALUES " + ", ".join(
-        f"('{p}', '{c}', '{' '.join(w.capitalize() for w in p.split('_'))}')" for p, c in PRODUCT_CATEGORY.items()
-    ) + ") t(product, category, display_name) WHERE EXISTS (SELECT 1 FROM panel)"),
+    with_panel("\nUNION ALL ".join(
+        f"SELECT '{p}' AS product, '{c}' AS category, '{' '.join(w.capitalize() for w in p.split('_'))}' AS display_name, count({product_revenue_column(p)}) AS n_rows, {r2(f'sum({product_revenue_column(p)})')} AS revenue FROM panel"
+        for p, c in PRODUCT_CATEGORY.items())),
 )
 def q_display_name(spark, sf):
+    """Display names of the panel's product columns, with their rows and revenue."""
     from ..functions.scalar import display_name
 
-    cat = P.product_catalogue(spark)
-    seen = raw(spark, sf).limit(1).select(F.lit(1).alias("_k"))  # ties the catalogue to a non-empty panel
-    return cat.crossJoin(seen).select("product", "category", display_name(F.col("product")).alias("display_name"))
+    p = raw(spark, sf)
+    cols = [c for c in p.columns if c in {product_revenue_column(x) for x in PRODUCT_NAMES}]
+    one = p.agg(*[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.sum(c).alias(f"s{i}"))])
+    rows = one.selectExpr(f"stack({len(cols)}, " + ", ".join(f"'{c}', n{i}, s{i}" for i, c in enumerate(cols)) + ") AS (col, n_rows, revenue)")
+    rows = rows.withColumn("product", F.regexp_replace("col", "_revenue$", ""))
+    return rows.join(P.product_catalogue(spark), "product").select("product", "category", display_name(F.col("col")).alias("display_name"), "n_rows", round2("revenue").alias("revenue"))
 
 
 def _trend_sql():
@@ -306,13 +310,14 @@ def q_product_recommendations(spark, sf):
     |correlation| and the request's strength on them, as reasoning text."""
     from pyspark.sql import Window
 
-    f = features(spark, sf)
-    p = raw(spark, sf)
+    p = materialize(raw(spark, sf))
+    f = materialize(engineer_features(p))
     top = P.topk_products(P.corr_product_revenue(f), P.product_stats(f))
     lev = P.corr_product_lever(p).where(F.col("corr").isNotNull())
     w = Window.partitionBy("product").orderBy(F.desc(F.abs("corr")), "lever")
     top2 = lev.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2)
-    strengths = WI.lever_strength(_filled(spark, sf)).select("request_id", "lever", "strength")
+    req = WI.clip_levers(WI.fill_missing_levers(WI.with_history(WI.request_table(p), p)))
+    strengths = WI.lever_strength(req).select("request_id", "lever", "strength")
     j = top.join(top2.select("product", "lever", F.col("corr").alias("lever_corr")), "product", "left")
     j = j.join(strengths, "lever", "left")  # lever strengths: requests x 4 levers
     reason = F.concat_ws(" ", F.col("lever"), F.lit("("), F.format_number("lever_corr", 2), F.lit(")"), F.coalesce(F.col("strength"), F.lit("n/a")))
