@@ -237,19 +237,46 @@ def date_gaps(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, lo: int = 25, hi: i
 # --- validator verdict (#178) ----------------------------------------------------------------
 
 
-def quality_verdict(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """One row per check with pass/fail; outlier and correlation checks only warn."""
-    nulls = null_counts(df).agg(F.count(F.lit(1)).alias("v")).select(F.lit("missing_values").alias("check"), (F.col("v") == 0).alias("passed"))
-    ranges = range_violations(df).agg(F.sum("violations").alias("v")).select(F.lit("value_ranges").alias("check"), (F.coalesce("v", F.lit(0)) == 0).alias("passed"))
-    rev = revenue_consistency(df).select(F.lit("revenue_consistency").alias("check"), (F.col("inconsistent_rows") == 0).alias("passed"))
-    mem = member_flow_check(df, spec).select(F.lit("member_flow").alias("check"), (F.col("inconsistent_rows") == 0).alias("passed"))
-    ret = retention_flow_check(df, spec).select(F.lit("retention_flow").alias("check"), (F.col("inconsistent_rows") == 0).alias("passed"))
-    gaps = date_gaps(df, spec).select(F.lit("temporal_consistency").alias("check"), (F.col("gap_rows") == 0).alias("passed"))
-    warn_only = [
-        df.limit(1).select(F.lit("statistical_outliers").alias("check"), F.lit(True).alias("passed")),
-        df.limit(1).select(F.lit("correlations").alias("check"), F.lit(True).alias("passed")),
-    ]
-    out = nulls
-    for d in [ranges, rev, mem, ret, gaps, *warn_only]:
-        out = out.unionByName(d)
+# Columns that a panel must have, and those that must be numbers
+REQUIRED = (
+    "month_year", "month_index", "year_index", "total_members", "new_members", "churned_members", "retention_rate", "avg_ticket_price", "total_classes_held",
+    "total_class_attendance", "class_attendance_rate", "staff_count", "staff_utilization_rate", "total_revenue", "membership_revenue", "class_pack_revenue",
+    "retail_revenue", "upsell_rate",
+)
+MUST_BE_NUMBERS = ("total_members", "new_members", "churned_members", "retention_rate", "avg_ticket_price", "total_revenue")
+
+
+def quality_verdict(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, sequence: str | None = None) -> DataFrame:
+    """One row for each of the eight checks: passed, issues and warnings. Outliers and
+    correlations only warn. ``sequence`` is the ingest order that months are held against
+    (default: not checked). The month column goes for ``month_year``."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    absent = [c for c in REQUIRED if c not in types and not (c == "month_year" and spec.month in types)]
+    bad_types = [c for c in MUST_BE_NUMBERS if c in types and types[c] not in NUMERIC] + [spec.month] * (types.get(spec.month) not in ("date", "timestamp"))
+    zero = F.lit(0).cast("long")
+
+    def row(source: DataFrame, name: str, issues=zero, warnings=zero) -> DataFrame:
+        x = source.select(issues.cast("long").alias("i"), warnings.cast("long").alias("w"))
+        return x.select(F.lit(name).alias("check"), (F.coalesce("i", zero) == 0).alias("passed"), F.coalesce("i", zero).alias("issues"), F.coalesce("w", zero).alias("warnings"))
+
+    some = df.agg(F.count(F.lit(1)).alias("rows"))  # an empty panel has no schema issue to show
+    logic = revenue_consistency(df).select(F.col("inconsistent_rows").alias("a")).crossJoin(member_flow_check(df, spec).select(F.col("inconsistent_rows").alias("b")))
+    logic = logic.crossJoin(retention_flow_check(df, spec).select(F.col("inconsistent_rows").alias("c")))  # one row each
+    times = date_gaps(df, spec)
+    if sequence is not None:
+        times = times.crossJoin(monotonic_dates(df, spec, sequence))
+    late = F.col("out_of_order_rows") if sequence is not None else zero
+    columns = [c for c in numeric_columns(df) if c not in (spec.entity, "month_index", "year_index")]
+    out = row(some, "schema", F.when(F.col("rows") > 0, len(absent)))
+    for part in (
+        row(null_counts(df).agg(F.count(F.lit(1)).alias("v")), "missing_values", F.col("v")),
+        row(some, "data_types", F.when(F.col("rows") > 0, len(bad_types))),
+        row(range_violations(df).agg(F.sum("violations").alias("v")), "value_ranges", F.col("v")),
+        row(logic, "business_logic", F.col("a") + F.col("b") + F.col("c")),
+        row(times, "temporal_consistency", F.col("gap_rows") + late),
+        row(iqr_outliers(df, columns).agg(F.count_if("warn").alias("v")), "statistical_outliers", warnings=F.col("v")),
+        row(corr_pairs(df).agg(F.count_if(F.col("corr") < 0.3).alias("v")), "correlations", warnings=F.col("v")),
+    ):
+        out = out.unionByName(part)
     return out
+

@@ -110,16 +110,18 @@ def q_gram_matrix(spark, sf):
     )
 
 
-SCALE_COLS = ["total_revenue", "total_members", "retention_rate", "avg_ticket_price"]
+SCALE_COLS = [
+    c for c in ENGINEERED_COLUMNS if c not in ("entity_id", "month", "studio_location", "studio_size_tier", "studio_price_tier", *TR.DEFAULT_SPEC.targets)
+]
 
 
 @register(
     "standard_scale",
     with_features(
         "SELECT entity_id, month, split, " + ", ".join(
-            f"{r2(f'({c} - (SELECT m_{c} FROM st)) / NULLIF((SELECT s_{c} FROM st), 0)', 6)} AS z_{c}" for c in SCALE_COLS
+            f"{r2(f'({q(c)} - (SELECT m_{c} FROM st)) / NULLIF((SELECT s_{c} FROM st), 0)', 6)} AS z_{c}" for c in SCALE_COLS
         ) + " FROM feat",
-        extra_ctes="st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALE_COLS) + " FROM feat WHERE split = 'train')",
+        extra_ctes="st AS (SELECT " + ", ".join(f"avg({q(c)}) AS m_{c}, stddev_pop({q(c)}) AS s_{c}" for c in SCALE_COLS) + " FROM feat WHERE split = 'train')",
     ),
 )
 def q_standard_scale(spark, sf):
@@ -191,7 +193,7 @@ def q_grid_search(spark, sf):
     feat = features(spark, sf)
     rows = TR.fit_rows(feat)
     feats = FE.feature_columns(feat)
-    gs, shift = TR.fold_grams(rows, feats, by_entity=True)
+    gs, shift = TR.fold_grams(rows, feats, by_entity=False)
     total = sum(gs.values())
     scores = TR.feature_scores(TR.GramFit(feats, list(TR.DEFAULT_SPEC.targets), total, shift))
     res, best_k, best_alpha = TR.grid_search(gs, feats, shift, scores)

@@ -210,10 +210,10 @@ def _horizon_sql():
        {r2('avg(CAST(pe <= 5.0 AS DOUBLE)) * 100', 2)} AS within_5pct, {r2('avg(CAST(pe <= 10.0 AS DOUBLE)) * 100', 2)} AS within_10pct,
        {r2('sqrt(avg(se))', 2)} AS rmse
 FROM h GROUP BY ALL"""
-    return msql(body, extra=f"h AS ({parts})")
+    return body, f"h AS ({parts})"
 
 
-@register("horizon_breakdown", _horizon_sql())
+@register("horizon_breakdown", msql(*_horizon_sql()))
 def q_horizon_breakdown(spark, sf):
     return M.horizon_breakdown(_baselines(spark, sf))
 
@@ -226,10 +226,10 @@ def _quarterly_sql():
        {r2('avg(CAST(pe <= 10.0 AS DOUBLE)) * 100', 2)} AS quarterly_within_10pct
 FROM (SELECT model, dataset, abs(({qp}) - ({qa})) / NULLIF({qa}, 0) * 100 AS pe, abs(({qp}) - ({qa})) AS ae FROM pw)
 GROUP BY ALL"""
-    return msql(body)
+    return body
 
 
-@register("quarterly_metrics", _quarterly_sql())
+@register("quarterly_metrics", msql(_quarterly_sql()))
 def q_quarterly_metrics(spark, sf):
     return M.quarterly_metrics(_baselines(spark, sf))
 
@@ -351,20 +351,35 @@ def q_argbest_model(spark, sf):
     return M.argbest_model(M.per_model_metrics(_long(spark, sf)))
 
 
-_SINK_METRICS = ("within_5_percent", "within_10_percent", "forecast_accuracy", "business_impact_score")
+_SINK_METRICS = (
+    "within_5_percent", "within_10_percent", "forecast_accuracy", "directional_accuracy", "business_impact_score", "mape_month_1", "mape_month_2", "mape_month_3",
+    "member_prediction_mape", "retention_prediction_mae", "revenue_trend_consistency", "large_error_rate",
+)
+_SINK_QUARTERLY = ("quarterly_mape", "total_quarterly_error", "quarterly_within_5pct", "quarterly_within_10pct")
+_SINK_HORIZON = ("mean_abs_error", "median_abs_error", "max_abs_error", "mean_pct_error", "median_pct_error", "within_5pct", "within_10pct", "rmse")
 
 
-@register(
-    "sink_metrics",
-    msql(
-        "SELECT " + ", ".join(f"{m}" for m in _SINK_METRICS) + " FROM one WHERE model = 'baseline_last_value' AND dataset = 'test'",
-        extra=_business_sql()[1],
-    ),
-)
+def _sink_sql() -> str:
+    only = "model = 'baseline_last_value' AND dataset = 'test'"
+    cols = [f"(SELECT {m} FROM one WHERE {only}) AS {m}" for m in _SINK_METRICS]
+    cols += [f"(SELECT {m} FROM qu WHERE {only}) AS {m}" for m in _SINK_QUARTERLY]
+    cols += [f"(SELECT {m} FROM ho WHERE {only} AND horizon = 'Month_{i}') AS Month_{i}_{m}" for i in (1, 2, 3) for m in _SINK_HORIZON]
+    horizon, cells = _horizon_sql()
+    extra = _business_sql()[1] + f",\nqu AS ({_quarterly_sql()}),\n{cells},\nho AS ({horizon})"
+    return msql("SELECT " + ", ".join(cols), extra=extra)
+
+
+@register("sink_metrics", _sink_sql())
 def q_sink_metrics(spark, sf):
-    bm = M.business_metrics(M.baseline_last_value(features(spark, sf))).where(F.col("dataset") == "test")
-    # one-row flattened view of the long metrics table (a pivot over the metric names)
-    return bm.groupBy().pivot("metric", list(_SINK_METRICS)).agg(F.max("value"))
+    """All metrics of the test rows as one wide row, written and read back."""
+    w = M.baseline_last_value(features(spark, sf))
+    test = F.col("dataset") == "test"
+    bm = M.business_metrics(w).where(test).groupBy().pivot("metric", list(_SINK_METRICS)).agg(F.max("value"))
+    qu = M.quarterly_metrics(w).where(test).select(*_SINK_QUARTERLY)
+    ho = M.horizon_breakdown(w).where(test).agg(
+        *[F.max(F.when(F.col("horizon") == f"Month_{i}", F.col(m))).alias(f"Month_{i}_{m}") for i in (1, 2, 3) for m in _SINK_HORIZON]
+    )
+    return roundtrip(bm.crossJoin(qu).crossJoin(ho), "metrics")  # one row each
 
 
 @register(

@@ -8,8 +8,9 @@ from ..operators import history as H
 from ..operators import leakage as L
 from ..operators import quality as Q
 from ..spec import EXPECTED_POSITIVE_CORR, VALIDATION_RANGES
+from ..session import read_table
 from .catalog import register
-from .common import features, panel, raw
+from .common import features, materialize, panel, raw
 from .oracle_features import ENGINEERED_COLUMNS, PANEL_COLUMNS, q, with_features
 from .oracle_panel import r2, with_panel
 
@@ -290,14 +291,15 @@ def q_retention_flow_check(spark, sf):
 
 @register(
     "monotonic_dates",
-    with_features(
-        "SELECT count(*) FILTER (WHERE month < lag(month) OVER (PARTITION BY entity_id ORDER BY studio_age)) AS out_of_order_rows FROM f2",
-        drop=False, split=False,
-    ).replace("count(*) FILTER (WHERE month < lag(month) OVER (PARTITION BY entity_id ORDER BY studio_age)) AS out_of_order_rows FROM f2",
-              "count(*) FILTER (WHERE b) AS out_of_order_rows FROM (SELECT month < lag(month) OVER (PARTITION BY entity_id ORDER BY studio_age) AS b FROM f2)"),
+    """WITH im AS (SELECT c_nationkey AS entity_id, date_trunc('month', o_orderdate) AS month, min(o_orderkey) AS first_key FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+SELECT count(*) FILTER (WHERE b) AS out_of_order_rows FROM (SELECT month < lag(month) OVER (PARTITION BY entity_id ORDER BY first_key) AS b FROM im)""",
 )
 def q_monotonic_dates(spark, sf):
-    return Q.monotonic_dates(features(spark, sf, drop=False, split=False))
+    """Months that come after a later one when the entity's months are taken in the order of
+    their first order key, which is the order in which they were written."""
+    o, c = read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
+    m = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("entity_id"), F.trunc("o_orderdate", "month").alias("month"))
+    return Q.monotonic_dates(m.agg(F.min("o_orderkey").alias("first_key")), sequence="first_key")
 
 
 @register(
@@ -311,26 +313,34 @@ def q_date_gaps(spark, sf):
     return Q.date_gaps(raw(spark, sf))
 
 
-@register(
-    "quality_verdict",
-    with_panel(
-        f"""SELECT 'missing_values' AS "check", (SELECT count(*) FROM panel WHERE {' OR '.join(c + ' IS NULL' for c in PANEL_COLUMNS)}) = 0 AS passed
-            UNION ALL SELECT 'value_ranges', (SELECT sum(v) FROM ranges) = 0
-            UNION ALL SELECT 'revenue_consistency', (SELECT count(*) FROM panel
-                 WHERE abs(total_revenue - (membership_revenue + class_pack_revenue + retail_revenue)) > 1000.0) = 0
-            UNION ALL SELECT 'member_flow', (SELECT count(*) FROM (SELECT abs((total_members - lag(total_members) {_WIN}) - (new_members - churned_members)) AS d FROM panel) WHERE d > 5.0) = 0
-            UNION ALL SELECT 'retention_flow', (SELECT count(*) FROM (SELECT lag(total_members) {_WIN} * (1 - retention_rate) AS e,
-                     abs(churned_members - lag(total_members) {_WIN} * (1 - retention_rate)) AS d FROM panel) WHERE d > e * 0.1) = 0
-            UNION ALL SELECT 'temporal_consistency', (SELECT count(*) FROM (SELECT datediff('day', lag(month) {_WIN}, month) AS d FROM panel) WHERE d < 25 OR d > 35) = 0
-            UNION ALL SELECT 'statistical_outliers', true
-            UNION ALL SELECT 'correlations', true""",
-        extra_ctes="ranges AS (" + union(
-            [f"SELECT count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS v FROM panel"
-             for c, (lo, hi) in VALIDATION_RANGES.items() if c in PANEL_COLUMNS]) + ")",
-    ),
-)
+def _verdict_sql() -> str:
+    cols = [c for c in PANEL_NUM if c != "entity_id"]
+    qs = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{i}, quantile_cont({c}, 0.75) AS q3_{i}" for i, c in enumerate(cols))
+    outs = ", ".join(f"count(*) FILTER (WHERE {c} < q1_{i} - 3.0 * (q3_{i} - q1_{i}) OR {c} > q3_{i} + 3.0 * (q3_{i} - q1_{i})) * 100.0 / count(*) > 2.0 AS w{i}" for i, c in enumerate(cols))
+    pairs = (("total_members", "total_revenue"), ("avg_ticket_price", "total_revenue"), ("retention_rate", "total_revenue"), ("total_classes_held", "total_revenue"))
+    low = " + ".join(f"CAST(coalesce({r2(corr_sql(a, b), 4)} < 0.3, false) AS BIGINT)" for a, b in pairs)
+    checks = [
+        # month_index, year_index and staff_utilization_rate are not in this panel
+        ("schema", "3", "0"),
+        ("missing_values", "(SELECT " + " + ".join(f"CAST(count(*) > count({c}) AS BIGINT)" for c in PANEL_COLUMNS) + " FROM panel)", "0"),
+        ("data_types", "0", "0"),
+        ("value_ranges", "(SELECT sum(v) FROM ranges)", "0"),
+        ("business_logic", "(SELECT count(*) FROM panel WHERE abs(total_revenue - (membership_revenue + class_pack_revenue + retail_revenue)) > 1000.0)"
+         f" + (SELECT count(*) FROM (SELECT abs((total_members - lag(total_members) {_WIN}) - (new_members - churned_members)) AS d FROM panel) WHERE d > 5.0)"
+         f" + (SELECT count(*) FROM (SELECT lag(total_members) {_WIN} * (1 - retention_rate) AS e, abs(churned_members - lag(total_members) {_WIN} * (1 - retention_rate)) AS d FROM panel) WHERE d > e * 0.1)", "0"),
+        ("temporal_consistency", f"(SELECT count(*) FROM (SELECT datediff('day', lag(month) {_WIN}, month) AS d FROM panel) WHERE d < 25 OR d > 35)", "0"),
+        ("statistical_outliers", "0", "(SELECT " + " + ".join(f"CAST(w{i} AS BIGINT)" for i in range(len(cols))) + " FROM ow)"),
+        ("correlations", "0", f"(SELECT {low} FROM panel)"),
+    ]
+    rows = union([f"SELECT '{n}' AS \"check\", CAST({i} AS BIGINT) AS issues, CAST({w} AS BIGINT) AS warnings" for n, i, w in checks])
+    ranges = union([f"SELECT count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS v FROM panel" for c, (lo, hi) in VALIDATION_RANGES.items() if c in PANEL_COLUMNS])
+    extra = f"ranges AS ({ranges}),\nqs AS (SELECT {qs} FROM panel),\now AS (SELECT {outs} FROM panel CROSS JOIN qs)"
+    return with_panel(f'SELECT "check", issues = 0 AS passed, issues, warnings FROM ({rows})', extra_ctes=extra)
+
+
+@register("quality_verdict", _verdict_sql())
 def q_quality_verdict(spark, sf):
-    return Q.quality_verdict(raw(spark, sf))
+    return Q.quality_verdict(materialize(raw(spark, sf)))
 
 
 # ---------------------------------------------------------------- leakage checks
@@ -423,13 +433,13 @@ def q_first_row_history(spark, sf):
     return L.first_row_history(features(spark, sf))
 
 
-def _corr_targets_sql():
+def _corr_targets_sql(threshold: float = 0.95):
     feats = [c for c in _FEAT_NUM_NO_ENT if c not in TARGETS]
     aggs = ", ".join(
         f"{r2(f'abs({corr_sql(f, t)})', 4)} AS c_{i}_{j}" for i, f in enumerate(feats) for j, t in enumerate(TARGETS)
     )
     body = union(
-        [f"SELECT '{t}' AS target, '{f}' AS feature, c_{i}_{j} AS abs_corr FROM one WHERE c_{i}_{j} > 0.95"
+        [f"SELECT '{t}' AS target, '{f}' AS feature, c_{i}_{j} AS abs_corr FROM one WHERE c_{i}_{j} > {threshold}"
          for i, f in enumerate(feats) for j, t in enumerate(TARGETS)]
     )
     return with_features(body, extra_ctes=f"one AS (SELECT {aggs} FROM feat)")
@@ -440,6 +450,12 @@ def q_corr_with_targets(spark, sf):
     return L.corr_with_targets(features(spark, sf).drop("entity_id"))
 
 
+@register("corr_with_targets_moderate", _corr_targets_sql(0.3))
+def q_corr_with_targets_moderate(spark, sf):
+    """The same with a threshold that some features pass."""
+    return L.corr_with_targets(features(spark, sf).drop("entity_id"), threshold=0.3)
+
+
 def _lag_corr_sql():
     pairs = list(L.LAG_PAIRS)
     aggs = ", ".join(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import features as FE
 from ..operators import linear as LN
 from ..operators import metrics as M
+from ..operators.ranks import numbered
 from ..spec import DEFAULT_SPEC, PanelSpec
 
 FIT_SPLITS = ("train", "validation")
@@ -95,18 +96,28 @@ def predictions_wide(feat: DataFrame, model: LN.LinearModel, name: str, spec: Pa
 # --------------------------------------------------------------------------- CV
 
 
-def fold_column(spec: PanelSpec = DEFAULT_SPEC, n_folds: int = 5, seed: int = 42, by_entity: bool = True):
-    """Hash-based fold id: the same row always lands in the same fold, whatever the
-    partitioning.  ``by_entity`` keeps every entity inside one fold (group k-fold)."""
-    keys = [F.col(spec.entity)] if by_entity else [F.col(spec.entity), F.col(spec.month)]
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(n_folds)).cast("int")
+def with_folds(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n_folds: int = 5, seed: int = 42, by_entity: bool = True) -> DataFrame:
+    """``df`` with the fold of each row in ``_fold``.
+
+    By row: a hash of entity and month, so a row lands in the same fold whatever the
+    partitioning. By entity (group k-fold): entities are ranked by their number of rows and
+    dealt to the folds back and forth, which balances the folds for few and for many
+    entities alike and leaves none empty while there are as many entities as folds.
+    """
+    if not by_entity:
+        return df.withColumn("_fold", F.pmod(F.xxhash64(spec.entity, spec.month, F.lit(seed)), F.lit(n_folds)).cast("int"))
+    sizes = df.groupBy(spec.entity).agg((-F.count(F.lit(1))).alias("_fewer"))
+    ranked = numbered(sizes, [], ["_fewer", spec.entity], "_place")
+    turn, place = F.floor(F.col("_place") / n_folds), F.col("_place") % n_folds
+    fold = F.when(turn % 2 == 0, place).otherwise(n_folds - 1 - place).cast("int")
+    return df.join(ranked.select(spec.entity, fold.alias("_fold")), spec.entity)
 
 
 def fold_grams(df: DataFrame, features: list[str], spec: PanelSpec = DEFAULT_SPEC, n_folds: int = 5, seed: int = 42, by_entity: bool = True):
     targets = list(spec.targets)
     cols = features + targets
     shift = LN.column_means(df, cols)
-    x = df.withColumn("_fold", fold_column(spec, n_folds, seed, by_entity))
+    x = with_folds(df, spec, n_folds, seed, by_entity)
     gs = LN.collect_grams(LN.gram_table(x, cols, keys=["_fold"], shift=shift), len(cols) + 1, keys=["_fold"])
     return gs, shift
 

@@ -45,7 +45,7 @@ def test_cv_from_grams_equals_refit(spark):
     feats = [f"f{i}" for i in range(x.shape[1])]
     gs, shift = TR.fold_grams(df.withColumnRenamed("y0", "revenue_month_1"), feats, spec=_Spec(), n_folds=4)
     res = TR.cross_validate_grams(gs, len(feats), shift, "ridge", 2.0)
-    folds = df.select(TR.fold_column(_Spec(), 4).alias("f")).toPandas()["f"].to_numpy()
+    folds = TR.with_folds(df, _Spec(), 4).select("row_id", "_fold").toPandas().sort_values("row_id")["_fold"].to_numpy()
     for fold, n, r2, rmse in res:
         tr, te = folds != fold, folds == fold
         mu, sd = x[tr].mean(0), x[tr].std(0)
