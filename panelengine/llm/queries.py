@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, line_chunks, packing, pii, quality, secrets, substring, toxicity, warc
+from .oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +72,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
