@@ -1,12 +1,12 @@
 """Substring deduplication by hashing of units.
 
-A text's units are its sentences: paragraphs and lines are cut, and lines are cut again after
-sentence ends, so that a passage spliced into a line is found as well; a unit with fewer than
+A text's units are its clauses: lines, cut again after punctuation, so that a passage spliced
+into the middle of a line loses no more than a clause at either end; a unit with fewer than
 ``min_unit`` words is joined with the next of its line. Units are normalised (letters
 lowered, everything but letters and digits dropped) and their 128-bit digests are grouped
 over the corpus. The earliest occurrence (by id, then place) is kept; runs of consecutive
 units that occur earlier and have ``min_words`` words together are removed, with the offsets
-in the original text.
+in the original text. So single lines that many texts share, such as licence notes, stay.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, cut_spans, key_filter, passes, plain, prepare
+from .common import as_table, cut_spans, dealt_anew, key_filter, passes, plain, prepare
 
 MIN_UNIT = 4
-MIN_WORDS = 16
+MIN_WORDS = 30
 
-_UNIT = re.compile(r"[^\n.!?]*(?:[.!?](?![^\S\n]|$|\n)[^\n.!?]*)*[.!?]*[^\S\n]*\n*|\n+")
+_CUT = re.compile(r"[.!?,;:]+(?=\s)|\n")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,20 +33,20 @@ def units(text: str, min_unit: int = MIN_UNIT) -> list[tuple[int, int, int, byte
     """(start, end, words, digest) of each unit with a word; end is exclusive and leaves out
     trailing white space."""
     out = []
-    low = text.lower() if len(text.lower()) == len(text) else None
-    start, words = 0, []
-    for m in _UNIT.finditer(text):
-        a, b = m.span()
-        if a == b:
-            continue
-        if not words:
-            start = a
-        words += _WORD.findall(low, a, b) if low is not None else _WORD.findall(text[a:b].lower())
-        if words and (len(words) >= min_unit or text[b - 1] == "\n" or b == len(text)):
-            body = text[start:b]
+    low = text.lower()
+    if len(low) != len(text):  # a few letters change their length; those stay as they are
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    start, at, words = 0, 0, []
+    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+        words += _WORD.findall(low, at, end)
+        at = end
+        if len(words) >= min_unit or (words and (end == len(text) or text[end - 1] == "\n")):
+            body = text[start:end]
             lead = len(body) - len(body.lstrip())
             out.append((start + lead, start + len(body.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words))))
             words = []
+        if not words:
+            start = end
     return out
 
 
@@ -93,7 +93,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = every.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = as_table(_rows(docs, id_col, text_col, min_unit, key_filter(twice.select("d1"))), "substring-units")
     first = again.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = again.join(first, ["d1", "d2"]).where(rank > F.col("first")).select("id", "hash", "no", "start", "end", "words", F.col("first.id").alias("kept"))
+    later = again.join(dealt_anew(first), ["d1", "d2"]).where(rank > F.col("first")).select("id", "hash", "no", "start", "end", "words", F.col("first.id").alias("kept"))
     by_text = Window.partitionBy("id", "hash").orderBy("no")
     later = later.dropDuplicates(["id", "hash", "no"]).withColumn("run", F.col("no") - F.row_number().over(by_text))
     runs = later.groupBy("id", "hash", "run").agg(
