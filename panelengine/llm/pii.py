@@ -202,7 +202,7 @@ def features(pattern: str) -> np.ndarray:
     return x
 
 
-def train(patterns: dict[str, int], posterior: dict[str, float], l2: float = 1.0, rounds: int = 30) -> np.ndarray:
+def train(patterns: dict[str, int], posterior: dict[str, float], l2: float = 0.1, rounds: int = 30) -> np.ndarray:
     """Logistic regression of the posteriors on the features, by Newton's method over patterns;
     counts weigh by their logarithm, so frequent shapes do not drown the others."""
     names = sorted(patterns)
