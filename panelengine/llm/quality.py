@@ -31,10 +31,18 @@ class Band:
 
 
 #: whole documents; a frame of zstandard has a dozen bytes of its own, hence the wide first band
-DOCUMENT_BANDS = (Band(0, 0.0, 9.0), Band(256, 0.28, 0.95), Band(1024, 0.22, 0.85), Band(4096, 0.18, 0.80), Band(16384, 0.15, 0.78), Band(65536, 0.12, 0.76))
+DOCUMENT_BANDS = (
+    Band(0, 0.0, 9.0),
+    Band(256, 0.28, 0.92),
+    Band(512, 0.25, 0.85),
+    Band(1024, 0.22, 0.76),
+    Band(4096, 0.18, 0.73),
+    Band(16384, 0.15, 0.71),
+    Band(65536, 0.12, 0.70),
+)
 #: fixed chunks of CHUNK bytes, and the last one if it has at least half
 CHUNK = 4096
-CHUNK_LOW, CHUNK_HIGH = 0.12, 0.88
+CHUNK_LOW, CHUNK_HIGH = 0.12, 0.76
 #: share of chunks outside their limits from which the document is rejected
 MAX_BAD_CHUNKS = 0.5
 LEVEL = 3
