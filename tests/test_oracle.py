@@ -14,9 +14,8 @@ NAMES = [
     "entity_month_panel", "engineer_features", "lag_1", "ewm_span3", "temporal_split_entity",
     "range_violations", "iqr_outliers", "corr_pairs", "lag_match_rate", "regression_metrics",
     "business_metrics", "f_regression", "walk_forward_folds", "request_features", "corr_product_lever",
-    "panel_without_open_month", "profile_numeric", "horizon_breakdown", "sink_audit_predictions", "sink_metrics", "quality_verdict", "monotonic_dates", "standard_scale",
-    "forecast_monthly", "lever_sensitivity_grid", "quick_wins", "inverse_search", "action_plan", "uncertainty", "compare_optimization_scenarios",
-    "predict_levers_sequential", "partial_summary", "lever_evolution", "lever_insights", "consolidate_recommendations", "scan_nested_metrics", "shap_fixed_linear",
+    "panel_without_open_month", "horizon_breakdown", "sink_metrics", "quality_verdict", "forecast_monthly", "inverse_search", "action_plan",
+    "predict_levers_sequential", "lever_evolution", "lever_insights", "scan_nested_metrics",
 ]
 
 
