@@ -34,7 +34,8 @@ def _trained(spark, sf, kind="ridge", alpha=5.0, l1_ratio=0.5, k=15):
 # ---------------------------------------------------------------- selection (#95, #141, #151)
 
 
-def _fscore_sql(order_limit: str = "") -> str:
+def _fscore_parts() -> tuple[str, str]:
+    """(SELECT of all scores, the CTEs it needs, ending in ``sc``)."""
     y = "revenue_month_1"
 
     def f(c):
@@ -44,12 +45,14 @@ def _fscore_sql(order_limit: str = "") -> str:
 
     aggs = ", ".join(f"{f(c)} AS s{i}" for i, c in enumerate(ALL_FEATURES))
     rows = "\nUNION ALL ".join(f"SELECT '{c}' AS feature, s{i} AS score FROM one" for i, c in enumerate(ALL_FEATURES))
-    extra = f"one AS (SELECT {aggs} FROM feat WHERE {FIT}),\nsc AS ({rows})"
+    return f"SELECT feature, {r2('score', 2)} AS score FROM sc", f"one AS (SELECT {aggs} FROM feat WHERE {FIT}),\nsc AS ({rows})"
+
+
+def _fscore_sql(order_limit: str = "") -> str:
+    body, extra = _fscore_parts()
     if order_limit:
         body = (f"SELECT feature, {r2('score', 2)} AS score, rk AS rank FROM (SELECT *, row_number() OVER "
                 f"(ORDER BY score DESC NULLS LAST, feature) AS rk FROM sc) WHERE rk <= {order_limit}")
-    else:
-        body = f"SELECT feature, {r2('score', 2)} AS score FROM sc"
     return with_features(body, extra_ctes=extra)
 
 
@@ -139,6 +142,62 @@ def q_standard_scale(spark, sf):
 # ---------------------------------------------------------------- fits (#152-#154)
 
 
+def _ridge_ctes(k: int = 15, alpha: float = 5.0) -> str:
+    """The ridge fit in SQL: the ``k`` best features in long form, scaled, their normal equations
+    as (i, j, v), solved for all targets by elimination, one pivot a step. Ends in ``co``:
+    target, feature, coef, scaled_coef, intercept."""
+    body, scores = _fscore_parts()
+    cast = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in ALL_FEATURES)
+    cols = ", ".join(q(c) for c in ALL_FEATURES)
+    ys = "\nUNION ALL ".join(f"SELECT entity_id, month, {t} AS t, CAST({c} AS DOUBLE) AS y FROM feat WHERE {FIT}" for t, c in enumerate(TARGETS, 1))
+    names = ", ".join(f"({t}, '{c}')" for t, c in enumerate(TARGETS, 1))
+    return f"""{scores},
+sel AS (SELECT feature, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, feature) AS rk FROM sc) WHERE rk <= {k}),
+wide AS (SELECT entity_id, month, {cast} FROM feat WHERE {FIT}),
+lg AS (SELECT entity_id, month, rk, value FROM (UNPIVOT wide ON {cols} INTO NAME feature VALUE value) JOIN sel USING (feature)),
+st AS (SELECT rk, avg(value) AS mu, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM lg GROUP BY rk),
+z AS (SELECT entity_id, month, rk, (value - mu) / sd AS z FROM lg JOIN st USING (rk)),
+yl AS ({ys}),
+ym AS (SELECT t, avg(y) AS my FROM yl GROUP BY t),
+g0 AS (
+  SELECT a.rk AS i, b.rk AS j, sum(a.z * b.z) + CASE WHEN a.rk = b.rk THEN {alpha} ELSE 0 END AS v FROM z a JOIN z b USING (entity_id, month) GROUP BY a.rk, b.rk
+  UNION ALL SELECT rk, {k} + t, sum(z * (y - my)) FROM z JOIN yl USING (entity_id, month) JOIN ym USING (t) GROUP BY rk, t),
+{_elimination(k)}
+w AS (SELECT i AS rk, j - {k} AS t, v FROM g{k} WHERE j > {k}),
+co AS (SELECT t, target, feature, w.v / sd AS coef, w.v AS scaled_coef, mu, my - sum(mu * w.v / sd) OVER (PARTITION BY t) AS intercept
+       FROM w JOIN st USING (rk) JOIN sel USING (rk) JOIN ym USING (t) JOIN (VALUES {names}) n(t, target) USING (t))"""
+
+
+def _elimination(k: int) -> str:
+    """g1 .. gk: step p makes column p that of the unit matrix."""
+    return "\n".join(
+        f"""g{p} AS (SELECT a.i, a.j, CASE WHEN a.i = {p} THEN r.v / d.v ELSE a.v - c.v * r.v / d.v END AS v FROM g{p - 1} a JOIN g{p - 1} r ON r.i = {p} AND r.j = a.j
+  JOIN g{p - 1} c ON c.i = a.i AND c.j = {p} JOIN g{p - 1} d ON d.i = {p} AND d.j = {p}),"""
+        for p in range(1, k + 1)
+    )
+
+
+def _sig(x: str) -> str:
+    """SQL: five significant digits."""
+    p = f"power(10, floor(log10(abs(NULLIF({x}, 0)))) - 4)"
+    return f"coalesce(round_even(({x}) / {p}, 0) * {p}, 0)"
+
+
+def _sig_column(c):
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.when(c != 0, c)))) - 4)
+    return F.coalesce(F.rint(c / p) * p, F.lit(0.0))
+
+
+_COEFS = ("coef", "scaled_coef", "intercept")
+
+
+@register("fit_ridge_multi", with_features("SELECT 'ridge' AS model, target, feature, " + ", ".join(f"{_sig(c)} AS {c}" for c in _COEFS) + " FROM co", extra_ctes=_ridge_ctes()))
+def q_fit_ridge_multi(spark, sf):
+    _, model, _, _ = _trained(spark, sf, "ridge", 5.0)
+    t = model.coefficient_table(spark, "v2.2")
+    return t.select("model", "target", "feature", *[_sig_column(F.col(c)).alias(c) for c in _COEFS])
+
+
 def _coef_query(kind, alpha, l1=0.5):
     def run(spark, sf):
         _, model, _, _ = _trained(spark, sf, kind, alpha, l1)
@@ -147,15 +206,26 @@ def _coef_query(kind, alpha, l1=0.5):
     return run
 
 
-register("fit_ridge_multi")(_coef_query("ridge", 5.0))
 register("fit_lasso")(_coef_query("lasso", 1.0))
 register("fit_elastic_net")(_coef_query("elastic_net", 2.0, 0.5))
 
 
-@register("score_linear")
+def _score_sql() -> str:
+    cast = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in ALL_FEATURES)
+    cols = ", ".join(q(c) for c in ALL_FEATURES)
+    extra = f"""{_ridge_ctes()},
+wa AS (SELECT entity_id, month, split, {cast} FROM feat),
+la AS (SELECT entity_id, month, split, feature, value FROM (UNPIVOT wa ON {cols} INTO NAME feature VALUE value))"""
+    body = f"SELECT entity_id, month, split AS dataset, target, {_sig('sum(value * coef) + any_value(intercept)')} AS predicted FROM la JOIN co USING (feature) GROUP BY entity_id, month, split, target"
+    return with_features(body, extra_ctes=extra)
+
+
+@register("score_linear", _score_sql())
 def q_score_linear(spark, sf):
+    """Predictions of the fitted ridge model for every row and target."""
     feat, model, _, _ = _trained(spark, sf)
-    return TR.predictions_wide(feat, model, "ridge")
+    w = M.to_long(TR.predictions_wide(feat, model, "ridge"))
+    return w.select("entity_id", "month", "dataset", "target", _sig_column(F.col("predicted")).alias("predicted"))
 
 
 # ---------------------------------------------------------------- CV (#162-#164)
