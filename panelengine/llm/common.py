@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -288,35 +288,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges ``(u, v)`` of longs; component is the
     smallest node reachable.
 
-    Alternating large-star and small-star steps: each step sends a node's neighbours to the
-    smallest one by a combined minimum and a join that adaptive execution can split, so a
-    node with very many neighbours is no single task. Every step is a checkpoint in the
-    shared folder; a handful of steps suffice (logarithmic in the number of nodes).
+    Alternating large-star and small-star steps. Large-star sends a node's larger neighbours to
+    the smallest one by a combined minimum and a join that adaptive execution can split, so a
+    node with very many neighbours is no single task. Small-star groups by the larger end: a
+    window, whose groups are no larger than the edges that a node brought to smaller ones
+    (those of one text or one tile here). Every step is a checkpoint in the shared folder; a
+    handful of steps suffice (logarithmic in the number of nodes).
     """
     ensure_checkpoint_dir(edges.sparkSession)
 
-    def seen(e: DataFrame):
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(r)
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """A checkpoint, and its count and checksum, taken as it is written."""
+        seen = Observation()
+        out = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).checkpoint()
+        return out, (seen.get["n"], seen.get["sum"])
 
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    state = seen(e)
+    e, state = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(dealt_anew(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # large-star keeps u > v; small-star sends the smaller neighbours of u to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(dealt_anew(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = (
-            large.join(dealt_anew(low), "u")
+            large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
             .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
             .where("u <> v")
             .distinct()
         )
-        e = small.checkpoint()
-        now = seen(e)
-        if now == state:
+        before = state
+        e, state = written(small)
+        if state == before:
             break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -29,6 +29,7 @@ connected need no check, and no group is ever expanded into its pairs.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, connected_components, dealt_anew, key_filter, mix, passes, prepare, shingle_set, signed, utf8, without_ids
+from .common import as_table, connected_components, dealt_anew, key_filter, passes, prepare, shingle_set, signed, utf8, without_ids
 
 WORDS = 5
 #: links: DEN * intersection >= NUM * union
@@ -48,8 +49,9 @@ CELL_BITS = 20
 _SLICES = 64
 #: token rows a task gathers before it joins its own documents
 BUFFER = 2_000_000
-#: sets in a tile
-TILE = 1000
+#: sets in a tile, where a set of more than UNIT shingles counts as several
+TILE = 4000
+UNIT = 1000
 
 
 #: shingles that linked sets must share within their prefixes, as a part of their number
@@ -112,7 +114,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             part = TaskContext.get().partitionId()
             for i, c in enumerate(np.split(np.minimum(cells, 2**32 - 1).astype(np.uint32), _SLICES)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())],
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())],
                     names=names,
                 )
 
@@ -122,11 +124,11 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf.counts.iloc[0]) // 4, np.uint64)
+    total = np.zeros((1 << CELL_BITS) // _SLICES, np.uint64)
     for c in pdf.counts:
-        total += np.frombuffer(c, np.uint32)
+        total += np.frombuffer(zlib.decompress(c), np.uint32)
     total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-    return pd.DataFrame({"part": [int(pdf.part.iloc[0]) // 256], "slice": [int(pdf.slice.iloc[0])], "counts": [total.tobytes()]})
+    return pd.DataFrame({"part": [int(pdf.part.iloc[0]) // 256], "slice": [int(pdf.slice.iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _cells(scan: DataFrame) -> np.ndarray:
@@ -136,7 +138,7 @@ def _cells(scan: DataFrame) -> np.ndarray:
         parts = parts.groupBy(F.expr("part div 256"), "slice").applyInPandas(_add_slices, "part int, slice int, counts binary")
     cells = np.zeros((_SLICES, (1 << CELL_BITS) // _SLICES), np.uint64)
     for r in parts.collect():  # at most a few times the fixed size
-        cells[r.slice] += np.frombuffer(r.counts, np.uint32)
+        cells[r.slice] += np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return np.minimum(cells.reshape(-1), (1 << CELL_BITS) - 1)
 
 
@@ -168,9 +170,9 @@ class _Local:
             self.parent[max(a, b)] = min(a, b)
 
 
-def gather(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer (token, doc) rows with the same connections: one per token and local cluster,
-    and one per member under a token made from its local cluster."""
+def gather(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The connections of (token, doc) rows in fewer rows: (token, root) with the smallest
+    document of each local cluster, once per token, and (member, root) of the clusters."""
     order = np.lexsort((docs, tokens))
     t, d = tokens[order], docs[order]
     new = np.concatenate([[True], t[1:] != t[:-1]])
@@ -187,8 +189,8 @@ def gather(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at[at == len(members)] = 0
         known = members[at] == firsts
         firsts[known] = roots[at[known]]
-    made = mix(roots.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return np.concatenate([t[new], made]), np.concatenate([firsts, members])
+    joined = members != roots
+    return t[new], firsts, members[joined], roots[joined]
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, cells: np.ndarray, reps: np.ndarray, shared: np.ndarray | None) -> DataFrame:
@@ -274,17 +276,15 @@ def _clusters(rows: DataFrame) -> DataFrame:
     def out(held):
         t = np.concatenate([b.column(0).to_numpy() for b in held])
         d = np.concatenate([b.column(1).to_numpy() for b in held])
-        t, d = gather(t.view(np.uint64), d)
-        return pa.RecordBatch.from_arrays([pa.array(signed(t)), pa.array(d)], names=["token", "doc"])
-
-    few = rows.select("token", "doc").mapInArrow(run, "token long, doc long")
-    edges = (
-        few.withColumn("low", F.min("doc").over(Window.partitionBy("token")))
-        .where("doc <> low")
-        .select(F.col("doc").alias("u"), F.col("low").alias("v"))
-        .distinct()
-    )
-    return connected_components(edges)
+        t, first, member, root = gather(t.view(np.uint64), d)
+        token = pa.concat_arrays([pa.array(signed(t)), pa.nulls(len(member), pa.int64())])
+        to = pa.concat_arrays([pa.nulls(len(t), pa.int64()), pa.array(root)])
+        return pa.RecordBatch.from_arrays([token, pa.array(np.concatenate([first, member])), to], names=["token", "doc", "root"])
+
+    few = as_table(rows.select("token", "doc").mapInArrow(run, "token long, doc long, root long"), "jaccard-gathered")
+    by_token = few.where("token is not null").withColumn("low", F.min("doc").over(Window.partitionBy("token"))).where("doc <> low")
+    edges = by_token.select(F.col("doc").alias("u"), F.col("low").alias("v")).union(few.where("token is null").select("doc", "root"))
+    return connected_components(edges.distinct())
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, k: int, cells: np.ndarray, reps: DataFrame) -> DataFrame:
@@ -394,12 +394,19 @@ def tree_links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int,
     return out
 
 
-def _joined_groups(rows: DataFrame, by: list[str], k: int) -> DataFrame:
-    """Links (u, v) inside each group of rows (cluster, component, doc, text)."""
+def _joined_groups(rows: DataFrame, by: list[str], k: int, whole: bool = False) -> DataFrame:
+    """Links (u, v) inside each group of rows (cluster, component, doc, text). If groups hold
+    ``whole`` clusters, u is a document and v the smallest one that links reach from it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [(c, m, d, shingle_set(t.encode(), k)) for c, m, d, t in zip(pdf.cluster, pdf.component, pdf.doc, pdf.text, strict=True)]
-        return pd.DataFrame(tree_links(sets), columns=["u", "v"], dtype="int64")
+        links = tree_links(sets)
+        if whole:
+            local = _Local()
+            for u, v in links:
+                local.join(u, v)
+            links = [(x, local.root(x)) for x in sorted({x for link in links for x in link})]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return rows.groupBy(*by).applyInPandas(run, "u long, v long")
 
@@ -407,19 +414,20 @@ def _joined_groups(rows: DataFrame, by: list[str], k: int) -> DataFrame:
 # --- the operator -------------------------------------------------------------------------
 
 
-def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(sets, links). sets: doc, n, key (digest of the set), rep (smallest doc with that set);
-    one row per row of ``docs``. links: (u, v) between representatives, enough of them to
-    connect every component."""
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(sets, groups). sets: doc, n, rep (smallest doc with that set), one row per row of
+    ``docs``. groups: (rep, component) of the representatives that link with others; component
+    is the smallest of those that links reach."""
     prepare(docs.sparkSession)
     scan = as_table(_scan(docs, id_col, text_col, k), "jaccard-scan")
     rows = scan.where("slice is null").select("doc", "n", "key")
     cells = _cells(scan)
-    reps = rows.where("doc is not null and n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
+    reps = rows.where("doc is not null and n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
     clusters = _candidates(docs, id_col, text_col, k, cells, reps)
     # one row per different set of a cluster of two sets or more
-    member = clusters.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc")
-    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    weight = F.greatest(F.lit(1.0), F.max("n") / UNIT).alias("weight")
+    member = clusters.join(reps.groupBy(F.col("rep").alias("doc")).agg(weight), "doc")
+    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("weight").alias("size")).where("sets > 1").drop("sets")
     member = member.join(dealt_anew(sizes), "cluster").checkpoint()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     full = as_table(texts.join(member, "doc").dropDuplicates(["doc", "text"]), "jaccard-members")
@@ -427,10 +435,10 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def tiles(n):
         return F.greatest(F.lit(1), F.ceil(F.col(n) / tile)).cast("long")
 
-    n_small = member.where(F.col("size") <= tile).count()
-    bins = max(1, math.ceil(n_small / tile))
+    n_small = member.where(F.col("size") <= tile).agg(F.sum("weight")).first()[0] or 0
+    bins = max(1, math.ceil(n_small / min(tile, 1000)))
     small = full.where(F.col("size") <= tile).withColumn("component", F.col("doc"))
-    links = _joined_groups(small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["bin"], k)
+    links = _joined_groups(small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["bin"], k, whole=True)
     big = full.where(F.col("size") > tile)
     found = None
     if not member.where(F.col("size") > tile).isEmpty():
@@ -442,16 +450,19 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
             comp = connected_components(found)
             labels = big.select("doc").distinct().join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")).checkpoint()
         found = found.union(as_table(_apart(big, labels, k, tiles, tile), "jaccard-pairs"))
-    links = as_table(links if found is None else links.union(found), "jaccard-links")
-    sets = rows.join(dealt_anew(reps), "key", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    return sets, links
+    groups = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    if found is not None:
+        groups = groups.union(connected_components(found))
+    groups = as_table(groups, "jaccard-groups")
+    sets = rows.join(dealt_anew(reps.drop("n")), "key", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    return sets, groups
 
 
 def _apart(big: DataFrame, labels: DataFrame, k: int, tiles, tile: int) -> DataFrame:
     """Links between components of one cluster that are still apart: tiles of one large
     component or of several small ones, all pairs of tiles that are not of one component."""
     rows = big.join(labels, "doc")
-    count = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("members"))
+    count = rows.groupBy("cluster", "component").agg(F.sum("weight").alias("members"))
     count = count.withColumn("large", F.col("members") > tile)
     rest = count.where("not large").groupBy("cluster").agg(F.sum("members").alias("others"))
     count = count.join(rest, "cluster", "left").fillna(0, ["others"])
@@ -476,10 +487,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: the id, n_shingles and component_id, the smallest id that links
     reach. Null and empty texts have no shingles and are their own component; a row without
     id has no component and links nothing; rows that share an id are one node."""
-    sets, links = near_duplicate_links(docs, id_col, text_col, k, tile)
-    comp = connected_components(links).select(F.col("node").alias("rep"), F.col("component"))
+    sets, groups = near_duplicate_groups(docs, id_col, text_col, k, tile)
     kind = docs.schema[id_col].dataType
-    return sets.join(comp, "rep", "left").select(
+    return sets.join(groups, "rep", "left").select(
         F.col("doc").cast(kind).alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc")).cast(kind).alias("component_id"),
