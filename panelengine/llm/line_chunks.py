@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, cut_spans, fresh, plain, prepare, same_document
+from .common import as_table, cut_spans, dealt_anew, fresh, plain, prepare, same_document
 
 #: lines in the rolling hash, and the mean number of lines after which a chunk ends
 ROLL = 2
@@ -75,7 +75,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = as_table(_rows(docs, id_col, text_col, roll, mean, min_lines), "line-chunks")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "start")
     twice = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    wanted = found.join(twice, "digest").select("id", "hash", F.struct("start", "end", "digest").alias("chunk"))
+    wanted = found.join(dealt_anew(twice), "digest").select("id", "hash", F.struct("start", "end", "digest").alias("chunk"))
     wanted = wanted.groupBy("id", "hash").agg(F.collect_set("chunk").alias("chunks")).checkpoint()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with_text = same_document(spark, texts, "id", "text", wanted, "inner")
@@ -84,7 +84,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     bodies = as_table(bodies, "line-chunk-bodies")
     first = bodies.groupBy("digest", "body").agg(F.min(rank).alias("first"))
-    return bodies.join(first, ["digest", "body"]).where(rank > F.col("first")).select("id", "hash", "start", "end").distinct()
+    return bodies.join(dealt_anew(first), ["digest", "body"]).where(rank > F.col("first")).select("id", "hash", "start", "end").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str | None = None, **options) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import as_table, prepare, shared_path
+from .common import as_table, dealt_anew, prepare, shared_path
 
 #: payloads from this size on are stored once
 MIN_REVISIT_BYTES = 0
@@ -134,7 +134,7 @@ def write_archives(
     rank = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
     groups = rows.where(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
     groups = groups.where("first <> last").select("sha1", "first")
-    marked = rows.join(groups, "sha1", "left").select(
+    marked = rows.join(dealt_anew(groups), "sha1", "left").select(
         "page_id", "url", "payload", "sha1", F.col("first.page_id").alias("original"), (F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))).alias("revisit")
     )
     out = to_arrow_schema(INDEX)
