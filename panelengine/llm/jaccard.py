@@ -48,10 +48,12 @@ NUM, DEN = 75, 100
 CELL_BITS = 20
 _SLICES = 64
 #: token rows a task gathers before it joins its own documents
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 #: sets in a tile, where a set of more than UNIT shingles counts as several
 TILE = 4000
 UNIT = 1000
+#: sets that small clusters are gathered to, in the same measure
+BIN = 250
 
 
 #: shingles that linked sets must share within their prefixes, as a part of their number
@@ -436,7 +438,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return F.greatest(F.lit(1), F.ceil(F.col(n) / tile)).cast("long")
 
     n_small = member.where(F.col("size") <= tile).agg(F.sum("weight")).first()[0] or 0
-    bins = max(1, math.ceil(n_small / min(tile, 1000)))
+    bins = max(1, math.ceil(n_small / min(tile, BIN)))
     small = full.where(F.col("size") <= tile).withColumn("component", F.col("doc"))
     links = _joined_groups(small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))), ["bin"], k, whole=True)
     big = full.where(F.col("size") > tile)
