@@ -87,7 +87,7 @@ def history_context(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 12)
         if lv in present:
             last = F.max_by(F.when(in6, F.col(lv)), F.when(in6, -F.col("recency")))
             first = F.max_by(F.when(in6, F.col(lv)), F.when(in6, F.col("recency")))
-            cnt = F.count(F.when(in6, F.col(lv)))
+            cnt = F.count_if(in6)  # rows, also those without a value; a missing end leaves no trend
             trends.append(F.try_divide((last - first).cast("double"), cnt.cast("double")).alias(f"trend_{lv}"))
     return h.groupBy(spec.entity).agg(
         F.count(F.lit(1)).alias("n_hist"),

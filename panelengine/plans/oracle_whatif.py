@@ -70,7 +70,7 @@ HISTORY = (
     "stddev_samp(CASE WHEN rk <= 3 THEN total_revenue END) AS tail3_std_revenue, "
     "sum(power(0.5, rk - 1) * total_revenue) / sum(power(0.5, rk - 1)) AS ewm_revenue, avg(total_revenue) AS mean_revenue, "
     + ", ".join(f"avg({lv}) AS hist_{lv}" for lv in PRESENT) + ", "
-    + ", ".join(f"CAST(max_by({lv}, -rk) FILTER (rk <= 6) - max_by({lv}, rk) FILTER (rk <= 6) AS DOUBLE) / NULLIF(count({lv}) FILTER (rk <= 6), 0) AS trend_{lv}" for lv in PRESENT)
+    + ", ".join(f"CAST((max_by({{'v': {lv}}}, -rk) FILTER (rk <= 6)).v - (max_by({{'v': {lv}}}, rk) FILTER (rk <= 6)).v AS DOUBLE) / count(*) FILTER (rk <= 6) AS trend_{lv}" for lv in PRESENT)
     + " FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY month DESC) AS rk FROM panel) WHERE rk <= 12 GROUP BY entity_id)"
 )
 
