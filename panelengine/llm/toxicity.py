@@ -1,16 +1,15 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled training rows becomes an inverted index of TF-IDF vectors; every
-whole text of the corpus is scored by its nearest examples under exact cosine similarity,
-found block by block: the index keeps, for each block of examples and term, the largest
-weight, so a block whose bound cannot reach the current k-th similarity is not opened. The
-neighbours vote with weights that fall with their distance; an isotonic fit on the votes that
-the examples get from each other turns votes into probabilities, and the nearest examples are
-the evidence.
-
-Terms are words and word beginnings whose share of toxic examples cannot be chance: the
-Chernoff bound on it is held against the number of terms tried. Document frequencies are
-counted over all documents.
+A bounded sample of labelled training rows becomes an inverted index of TF-IDF vectors over all
+words of the sample; every whole text of the corpus with one of them is scored by its nearest
+examples under exact cosine similarity. The neighbours vote with weights that fall with their
+distance; an isotonic fit on the votes that the examples get from each other turns votes into
+probabilities, and the nearest examples are the evidence.
+
+Terms are all words of the sample, and word beginnings whose share of toxic examples cannot be
+chance: the Chernoff bound on it is held against the number of terms tried. The same evidence
+raises the weight of a term, and removes no word. Document frequencies are counted over all
+documents. Words that no example has meet nothing in the index and are left out of the vectors.
 """
 
 from __future__ import annotations
@@ -30,15 +29,15 @@ from .decontaminate import words_of
 
 #: labelled rows the index is fitted on, at most: those with the smallest hash of their id
 SAMPLE = 8000
-#: terms at most, the most telling first
+#: word beginnings at most, the most telling first; all words are terms besides
 TERMS = 4096
 NEIGHBOURS = 15
 THRESHOLD = 0.3
+#: texts scored at a time
 BLOCK = 64
+#: share of the examples from which on a term is a full row instead of a list of postings
+COMMON = 0.15
 EVIDENCE = 3
-#: weight, in place of an inverse frequency, of the one term that stands for all other words:
-#: a text with little that tells is nearer to other such texts than to those with much
-REST = 2.0
 #: bytes of the word beginnings
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: chance of a single wrong term, over all terms
@@ -55,98 +54,129 @@ def is_training(id_column):
     return F.crc32(id_column.cast("string").cast("binary")) % 4 != 2
 
 
-def term_counts(text: bytes, number: dict[bytes, int]) -> dict[int, int]:
-    """Occurrences of each numbered term; the last number stands for all other words."""
+def term_finder(number: dict[bytes, int], most: int = 200_000):
+    """A function from a word to the numbers of its terms, with a bounded table of words seen."""
+    seen: dict[bytes, tuple[int, ...]] = {}
+
+    def find(word: bytes) -> tuple[int, ...]:
+        ids = seen.get(word)
+        if ids is None:
+            ids = tuple(i for t in terms_of(word) if (i := number.get(t)) is not None)
+            if len(seen) >= most:
+                seen.clear()
+            seen[word] = ids
+        return ids
+
+    return find
+
+
+def term_counts(text: bytes, find) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the text's terms, rising, and how often each occurs."""
     out: dict[int, int] = {}
-    get, rest = number.get, 0
     for word, n in Counter(words_of(text)).items():
-        known = False
-        for t in terms_of(word):
-            i = get(t)
-            if i is not None:
-                out[i] = out.get(i, 0) + n
-                known = True
-        rest += not known
-    if rest:
-        out[len(number)] = rest
-    return out
+        for i in find(word):
+            out[i] = out.get(i, 0) + n
+    terms = np.fromiter(out, np.int64, len(out))
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(out.values(), np.int64, len(out))[order]
 
 
-class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors ``[(terms, weights), ...]``."""
+class ExampleIndex:
+    """Exact top-k cosine over sparse unit vectors ``[(terms, weights), ...]``: postings by
+    term, and full rows for the terms of many examples; ``block`` texts are scored at a time."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        blocks = -(-self.n // block)
-        self.bound = np.zeros((n_terms, blocks), np.float64)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for d, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                postings.setdefault((t, d // block), []).append((d % block, w))
-                self.bound[t, d // block] = max(self.bound[t, d // block], w)
-        self.postings = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for k, v in postings.items()}
+        terms = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        have = np.bincount(terms, minlength=n_terms)
+        often = have > COMMON * self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.n))
+        full = often[terms]
+        self.rows[self.row[terms[full]], example[full]] = weights[full]
+        order = np.argsort(terms[~full], kind="stable")
+        self.example, self.weight = example[~full][order], weights[~full][order]
+        self.start = np.concatenate([[0], np.cumsum(np.where(often, 0, have))])
+
+    def similarities(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosine of each vector with each example."""
+        full = np.zeros((len(vectors), len(self.rows)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            full[i, row[row >= 0]] = weights[row >= 0]
+        out = full @ self.rows
+        for i, (terms, weights) in enumerate(vectors):
+            first = self.start[terms]
+            size = self.start[terms + 1] - first
+            ends = np.cumsum(size)
+            if len(ends) and ends[-1]:
+                at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+                out[i] += np.bincount(self.example[at], self.weight[at] * np.repeat(weights, size), self.n)
+        return out
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector the k most similar examples with a positive similarity, ties by
+        number."""
+        found: list[list[tuple[float, int]]] = []
+        for a in range(0, len(vectors), self.block):
+            scores = np.round(self.similarities(vectors[a : a + self.block]), 12)
+            for j, score in enumerate(scores):
+                if leave_out and leave_out[a + j] >= 0:
+                    score[leave_out[a + j]] = 0
+                least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0
+                near = np.flatnonzero((score >= least) & (score > 0))
+                near = near[np.argsort(-score[near], kind="stable")][:k]
+                found.append(list(zip(score[near].tolist(), near.tolist(), strict=True)))
+        return found
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> list[tuple[float, int]]:
-        """The k most similar examples with a positive similarity, ties by number."""
-        if not len(terms) or not self.n:
-            return []
-        bound = weights @ self.bound[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                found = self.postings.get((t, b))
-                if found is not None:
-                    score[found[0]] += w * found[1]
-            for i in np.flatnonzero(score).tolist():
-                if b * self.block + i != leave_out:
-                    best.append((round(float(score[i]), 12), b * self.block + i))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+        return self.nearest_of([(terms, weights)], k, [leave_out])[0]
+
+
+#: the name under which the tests know the index
+BlockMaxIndex = ExampleIndex
 
 
 class Model:
-    """Terms, document frequencies, index, labels and the calibration."""
+    """Terms and their weights, index, labels and the calibration. ``examples``: (id, label,
+    numbers of the terms, counts)."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], neighbours: int = NEIGHBOURS):
+    def __init__(self, terms: list[bytes], weights: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], neighbours: int = NEIGHBOURS):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.k = np.append(idf, REST), neighbours
-        vectors = [self.weigh(c) for _, _, c in examples]
-        some = [i for i, v in enumerate(vectors) if len(v[0]) > 1]
+        self.weights, self.k = weights, neighbours
+        vectors = [self.weigh(t, n) for _, _, t, n in examples]
+        some = [i for i, v in enumerate(vectors) if len(v[0])]
         self.ids = [examples[i][0] for i in some]
         self.labels = np.array([examples[i][1] for i in some], np.float64)
-        self.index = BlockMaxIndex([vectors[i] for i in some], len(terms) + 1)
-        self.prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
-        votes = np.array([self.vote(self.index.nearest(*vectors[i], neighbours, leave_out=j)) for j, i in enumerate(some)])
+        vectors = [vectors[i] for i in some]
+        self.index = ExampleIndex(vectors, len(terms))
+        self.prior = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 1)
+        votes = np.array([self.vote(near) for near in self.index.nearest_of(vectors, neighbours, list(range(len(some))))])
         self.steps = isotonic(votes, self.labels)
-        rest = [y for (_, y, _), v in zip(examples, vectors, strict=True) if len(v[0]) < 2]
+        left = set(some)
+        rest = [e[1] for i, e in enumerate(examples) if i not in left]
         self.without = (sum(rest) + self.prior) / (len(rest) + 1)
 
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], np.float64))) * self.idf[terms]
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weights[terms]
         norm = math.sqrt(float(w @ w))
         return (terms, w / norm) if norm else (terms[:0], w[:0])
 
-    def counts(self, text: bytes) -> dict[int, int]:
-        return term_counts(text, self.number)
-
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic examples, weighted by closeness and drawn to the prior by one far vote."""
         w = np.array([1 / (0.05 + max(0.0, 1 - s)) for s, _ in near])
         y = self.labels[[i for _, i in near]] if near else np.zeros(0)
         return float((w @ y + self.prior) / (w.sum() + 1))
 
-    def score(self, text: bytes) -> tuple[float, float, list[tuple[float, int]]]:
-        terms, weights = self.weigh(self.counts(text))
-        near = self.index.nearest(terms, weights, self.k) if len(terms) > 1 else []
-        if not near:
-            return self.without, self.prior, near
-        vote = self.vote(near)
-        return calibrated(self.steps, vote), vote, near
+    def scores(self, texts: list[bytes], find) -> Iterator[tuple[float, float, list[tuple[float, int]]]]:
+        """(score, vote, nearest examples) of each text; ``find`` is ``term_finder(self.number)``."""
+        for a in range(0, len(texts), BLOCK):
+            vectors = [self.weigh(*term_counts(t, find)) for t in texts[a : a + BLOCK]]
+            for near in self.index.nearest_of(vectors, self.k):
+                vote = self.vote(near)
+                yield (calibrated(self.steps, vote), vote, near) if near else (self.without, self.prior, near)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
@@ -202,67 +232,70 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return sample.select("y", "text").mapInArrow(run, "term binary, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
-def _choose(counts: DataFrame, rate: float, terms: int) -> list[bytes]:
-    """Terms with more toxic documents than chance allows, by the strength of the evidence."""
+def _choose(counts: DataFrame, rate: float, terms: int) -> tuple[list[bytes], np.ndarray]:
+    """All words, and the beginnings with more toxic documents than chance allows, at most
+    ``terms`` by the strength of the evidence; and a factor of each, 1 without evidence and 2
+    where it just excludes chance."""
     tried = counts.count()
-    if not tried or not 0 < rate < 1:
-        return []
+    if not tried:
+        return [], np.empty(0)
     p = F.col("toxic") / F.col("n")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    evidence = F.col("n") * (part(p, F.lit(rate)) + part(1 - p, F.lit(1 - rate)))
-    rows = counts.where(p > rate).withColumn("e", evidence).where(F.col("e") >= math.log(tried / ALPHA))
-    return [bytes(r.term) for r in rows.orderBy(F.desc("e"), "term").limit(terms).select("term").collect()]
+    evidence = F.lit(0.0)
+    if 0 < rate < 1:
+        evidence = F.when(p > rate, F.col("n") * (part(p, F.lit(rate)) + part(1 - p, F.lit(1 - rate)))).otherwise(0.0)
+    rated = counts.select("term", (evidence / math.log(tried / ALPHA)).alias("e"), (F.substring("term", 1, 1) == F.lit(b" ")).alias("begins"))
+    rows = rated.where("not begins").union(rated.where("begins and e >= 1").orderBy(F.desc("e"), "term").limit(terms)).select("term", "e").toArrow()
+    found = sorted(zip(rows["term"].to_pylist(), rows["e"].to_pylist(), strict=True))
+    return [t for t, _ in found], 1 + np.array([e for _, e in found])
 
 
-def _frequencies(docs: DataFrame, text_col: str, terms: list[bytes]) -> tuple[int, np.ndarray]:
-    """All documents, and those with each term."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def _frequencies(docs: DataFrame, text_col: str, number) -> tuple[int, np.ndarray]:
+    """All documents, and those with each term; ``number`` is the broadcast numbering."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        have, n = np.zeros(len(number), np.int64), 0
+        find = term_finder(number.value)
+        have, n = np.zeros(len(number.value), np.int64), 0
         for b in batches:
             for t in utf8(b.column(0)):
                 n += 1
-                found = {i for w in set(words_of(t)) for x in terms_of(w) if (i := number.get(x)) is not None}
+                found: set[int] = set()
+                for w in set(words_of(t)):
+                    found.update(find(w))
                 if found:
-                    have[list(found)] += 1
+                    have[np.fromiter(found, np.int64, len(found))] += 1
         at = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(have[at], n))], names=["i", "n"])
 
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    have = np.zeros(len(terms), np.int64)
-    total = 0
-    for r in rows:
-        if r.i < 0:
-            total = r.n
-        else:
-            have[r.i] = r.n
-    return total, have
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    i, n = rows["i"].to_numpy(), rows["n"].to_numpy()
+    have = np.zeros(len(number.value), np.int64)
+    have[i[i >= 0]] = n[i >= 0]
+    return int(n[i < 0].sum()), have
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, neighbours: int = NEIGHBOURS) -> Model:
-    """The model; what reaches the driver is bounded by the sample and the number of terms."""
+    """The model; what reaches the driver is the terms of the sample's texts."""
     prepare(docs.sparkSession)
     rows = _sample(docs, labels, id_col, text_col, label_col, sample).checkpoint()
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
-    chosen = _choose(_term_counts(rows), (size.y or 0) / max(1, size.n), terms)
-    total, have = _frequencies(docs, text_col, chosen)
-    idf = np.log((1 + total) / (1 + have)) + 1
+    chosen, factor = _choose(_term_counts(rows), (size.y or 0) / max(1, size.n), terms)
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})
+    total, have = _frequencies(docs, text_col, shared)
+    weights = (np.log((1 + total) / (1 + have)) + 1) * factor
 
     def make():
-        number = shared.value
+        find = term_finder(shared.value)
 
         def each(column):
-            found = [term_counts(t, number) for t in utf8(column)]
-            return [(list(c), list(c.values())) for c in found]
+            return [tuple(a.tolist() for a in term_counts(t, find)) for t in utf8(column)]
 
         return each
 
     pair = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("terms", "counts")])
-    found = per_text(rows, "text", pair, make, "c", ["id", "y"]).orderBy("id", "y", F.to_json("c")).collect()
-    return Model(chosen, idf, [(r.id, r.y, dict(zip(r.c.terms, r.c.counts, strict=True))) for r in found], neighbours)
+    found = per_text(rows, "text", pair, make, "c", ["id", "y"]).orderBy("id", "y", "c").select("id", "y", "c.terms", "c.counts").toArrow()
+    lists = ([x.values.to_numpy() for x in found[c].combine_chunks()] if found.num_rows else [] for c in ("terms", "counts"))
+    return Model(chosen, weights, list(zip(found["id"].to_pylist(), found["y"].to_pylist(), *lists, strict=True)), neighbours)
 
 
 SCORES = T.StructType(
@@ -279,18 +312,18 @@ SCORES = T.StructType(
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted, the vote and the nearest examples. A text that
-    is null, empty or without any term of the index gets the share of toxic examples among
-    those without terms. A row without id is not held out."""
+    is null, empty or without any word of an example gets the share of toxic examples among
+    those without words. A row without id is not held out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
+        find = term_finder(m.number)
 
-        def one(text):
-            s, vote, near = m.score(text)
-            return s, vote, [{"example": str(m.ids[i]), "label": int(m.labels[i]), "similarity": sim} for sim, i in near[:EVIDENCE]]
+        def evidence(near):
+            return [{"example": str(m.ids[i]), "label": int(m.labels[i]), "similarity": sim} for sim, i in near[:EVIDENCE]]
 
-        return lambda column: [one(t) for t in utf8(column)]
+        return lambda column: [(s, vote, evidence(near)) for s, vote, near in m.scores(utf8(column), find)]
 
     out = per_text(docs, text_col, SCORES, make, "_s_", [id_col])
     return out.select(

@@ -586,3 +586,20 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
     none = toxicity.toxicity(odd, labels.limit(0)).collect()
     assert len({r.score for r in none}) == 1
+
+
+def test_toxicity_of_a_copy_with_rare_words(spark):
+    """A copy of a toxic example is nearest to it, though no word of it tells anything; so is a
+    text of one word."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(words(rng, 30)), 0) for i in range(0, 400)]
+    rows += [(400 + i, " ".join([*(f"slur{j}" for j in rng.sample(range(6), 3)), *words(rng, 20)]), 1) for i in range(60)]
+    rare = " ".join(f"w{j}x" for j in range(25))
+    train = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows += [(train, rare, 1), (3000, rare, None), (3001, "w7x", None), (3002, "zz unseen", None), (3003, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic")).collect()}
+    for i in (3000, 3001):
+        assert got[i].evidence[0].example == str(train) and got[i].evidence[0].label == 1
+    assert got[3000].evidence[0].similarity > 0.999 and got[3000].predicted == 1
+    assert not got[3002].evidence and not got[3003].evidence
