@@ -12,6 +12,7 @@ length.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -86,16 +87,27 @@ def _keys():
     return each
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Content and id of the added tokens of a tokenizer's JSON file."""
+    with open(json_path, encoding="utf-8") as f:
+        rows = json.load(f)["added_tokens"]
+    odd = [r["content"] for r in rows if r["single_word"] or r["lstrip"] or r["rstrip"] or r["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that are not plain strings: {odd}")
+    return {r["content"]: r["id"] for r in rows}
+
+
 class Tokens:
     """Ids of texts as little-endian 16-bit bytes.
 
     The vocabulary's pattern never joins a character that is not white space to white space
     after it, so a text may be cut before every run of blanks and the parts, most of them one
     word, be looked up in a bounded table of those seen before. Texts with other white space
-    than blanks and line ends are encoded whole.
+    than blanks and line ends are encoded whole. ``added`` tokens are found first, as the JSON
+    tokenizer does; what stands between them is encoded by itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None, most: int = 400_000):
         import re
 
         import tiktoken
@@ -107,8 +119,15 @@ class Tokens:
         self.odd = re.compile(r"[^\S \n]").search
         self.most = most
         self.seen: dict[str, bytes] = {}
+        self.added = {t: np.array([i], "<u2").tobytes() for t, i in (added or {}).items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __call__(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.ordinary(text)
+        return b"".join(self.added.get(part) or self.ordinary(part) for part in self.marks.split(text))
+
+    def ordinary(self, text: str) -> bytes:
         if self.odd(text):
             return np.array(self.encode(text), "<u2").tobytes()
         seen, out = self.seen, []
@@ -142,13 +161,15 @@ def pack(
     text_col: str = "text",
     length: int = LENGTH,
     with_ids: bool = False,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: the document's id, where the piece starts in the document's ids, its
     length and crc32, the document's ids, its sequence and its place there (and with
     ``with_ids`` the ids themselves, 16-bit little-endian).
 
     A null or empty text is the end id alone. Copies and repeated rows are packed each. The
-    vocabulary must have fewer than 65,536 ids. Memory: one batch of texts and one sequence.
+    vocabulary must have fewer than 65,536 ids. ``added`` tokens (content and id) get their id
+    wherever a text has them; without it such strings are ordinary text. Memory: one batch of texts and one sequence.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -166,7 +187,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = Tokens(ranks_path, pattern)
+        tokens = Tokens(ranks_path, pattern, added)
         first = TaskContext.get().partitionId() << 40
         end = END.to_bytes(2, "little")
         sequence = first

@@ -603,3 +603,32 @@ def test_toxicity_of_a_copy_with_rare_words(spark):
         assert got[i].evidence[0].example == str(train) and got[i].evidence[0].label == 1
     assert got[3000].evidence[0].similarity > 0.999 and got[3000].predicted == 1
     assert not got[3002].evidence and not got[3003].evidence
+
+
+def test_packing_ids_are_those_of_the_json_tokenizer(spark):
+    """With the tokenizer's default settings: its added token is found in texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    given = ["x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b\t<|endoftext|>c  ", "<|endoftext| > no", "plain words"]
+    table = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    pieces = collections.defaultdict(list)
+    for r in packed(spark, table, added=packing.added_tokens(path)):
+        pieces[r.doc_id].append((r.start, r.ids, r.doc_tokens))
+    for i, text in enumerate(given):
+        ids = np.frombuffer(b"".join(p[1] for p in sorted(pieces[i])), "<u2").tolist()
+        assert ids == [*t.encode(text, add_special_tokens=False).ids, packing.END] and {p[2] for p in pieces[i]} == {len(ids)}
+    assert 50256 in t.encode(given[0], add_special_tokens=False).ids
+
+
+def test_packing_query_finds_the_added_token(spark, tmp_path):
+    import corpus_pipeline
+    from panelengine.llm import queries
+
+    spark.createDataFrame([(1, "x <|endoftext|> y")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = zlib.crc32(np.array([87, 220, 50256, 331, 0], "<u4").tobytes())
+    rows = queries.op10_packing(spark, str(tmp_path)).collect() + corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
+    assert [r.doc_tokens for r in rows if r.start == 0] == [5, 5] and len(rows) in (2, 4)
+    assert all(r.ids_crc32 == want for r in rows if r.length == 5)
