@@ -1,18 +1,22 @@
 """Substring deduplication by hashing of units.
 
-A text's units are its clauses: lines, cut again after punctuation, so that a passage spliced
-into the middle of a line loses no more than a clause at either end; a unit with fewer than
-``min_unit`` words is joined with the next of its line. Units are normalised (letters
-lowered, everything but letters and digits dropped) and their 128-bit digests are grouped
-over the corpus. The earliest occurrence (by id, then place) is kept; runs of consecutive
-units that occur earlier and have ``min_words`` words together are removed, with the offsets
-in the original text. So single lines that many texts share, such as licence notes, stay.
+A text's units are stretches of ``min_unit`` words or more inside a line, cut at positions that
+the words around decide: the place between two words gets a key, lowest after the end of a
+sentence, then after other punctuation, else by the hash of both words, and a place whose key
+is the least within ``min_unit`` - 1 words to either side is a cut. So a passage is cut in the
+same way wherever it stands, but for a few words next to a splice. Units are normalised (letters
+lowered, everything but letters and digits dropped; each character of Chinese and Japanese is a
+word) and their 128-bit digests are grouped over the corpus. The earliest occurrence (by id,
+then place) is kept; runs of consecutive units that occur earlier and have ``min_words`` words
+together are removed, with the offsets in the original text. So single lines that many texts
+share, such as licence notes, stay.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,33 +24,64 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, cut_spans, dealt_anew, key_filter, passes, plain, prepare
+from .common import as_table, cut_spans, dealt_anew, key_filter, mix, passes, plain, prepare
 
 MIN_UNIT = 4
 MIN_WORDS = 30
 
-_CUT = re.compile(r"[.!?,;:]+(?=\s)|\n")
-_WORD = re.compile(r"[^\W_]+")
+_CJK = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_CJK}](?<![\W_])|[^\W_{_CJK}]+")
+#: kinds of places between words: a line ends, a sentence, a clause, none of these
+_LINE, _SENTENCE, _CLAUSE, _OTHER = range(4)
+_SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[\u3002\uff0e\uff01\uff1f\uff61]")
+_CLAUSE_END = re.compile(r"[,;:](?=\s|$)|[\u3001\uff0c\uff1b\uff1a\uff64]")
+
+
+def _kind(gap: str) -> int:
+    if "\n" in gap:
+        return _LINE
+    return _SENTENCE if _SENTENCE_END.search(gap) else _CLAUSE if _CLAUSE_END.search(gap) else _OTHER
+
+
+def _edges(gap: str) -> tuple[int, int]:
+    """Characters of the text between two words that go with the first and with the second."""
+    if "\n" in gap:
+        return len(gap[: gap.index("\n")].rstrip()), len(gap[gap.rindex("\n") + 1 :].lstrip())
+    left = next((i for i, c in enumerate(gap) if c.isspace()), len(gap))
+    return left, len(gap[left:].lstrip())
 
 
 def units(text: str, min_unit: int = MIN_UNIT) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit with a word; end is exclusive and leaves out
-    trailing white space."""
-    out = []
+    """(start, end, words, digest) of each unit; end is exclusive, and white space at either end
+    is left out."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length; those stay as they are
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    start, at, words = 0, 0, []
-    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
-        words += _WORD.findall(low, at, end)
-        at = end
-        if len(words) >= min_unit or (words and (end == len(text) or text[end - 1] == "\n")):
-            body = text[start:end]
-            lead = len(body) - len(body.lstrip())
-            out.append((start + lead, start + len(body.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words))))
-            words = []
-        if not words:
-            start = end
+    found = list(_WORD.finditer(low))
+    if not found:
+        return []
+    words = [m.group() for m in found]
+    spans = [m.span() for m in found]
+    gaps = [text[a:b] for (_, a), (b, _) in pairwise(spans)]
+    kinds = {g: _kind(g) for g in set(gaps)}
+    kind = np.array([*(kinds[g] for g in gaps), _LINE], np.uint64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    key = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + np.append(hashes[1:], np.uint64(0)))
+    key = np.where(kind == _LINE, 0, kind << np.uint64(62) | key >> np.uint64(2) | np.uint64(1)).astype(np.uint64)
+    # ``key[i]`` is that of the place after word i; a line's end is a cut, and near it is none
+    n, reach = len(words), max(0, min_unit - 1)
+    padded = np.concatenate([np.zeros(reach, np.uint64), key, np.zeros(reach, np.uint64)])
+    cut = np.ones(n, bool)
+    for d in range(1, reach + 1):
+        cut &= (key < padded[reach - d : reach - d + n]) & (key <= padded[reach + d : reach + d + n])
+    cut |= kind == _LINE
+    head = text[: spans[0][0]]
+    out, first, start = [], 0, spans[0][0] - len(head[head.rfind("\n") + 1 :].lstrip())
+    for i in np.flatnonzero(cut).tolist():
+        left, right = _edges(gaps[i]) if i < n - 1 else (len(text[spans[i][1] :].split("\n", 1)[0].rstrip()), 0)
+        out.append((start, spans[i][1] + left, i + 1 - first, xxhash.xxh3_128_digest(" ".join(words[first : i + 1]))))
+        first = i + 1
+        start = spans[first][0] - right if first < n else 0
     return out
 
 

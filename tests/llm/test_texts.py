@@ -632,3 +632,22 @@ def test_packing_query_finds_the_added_token(spark, tmp_path):
     rows = queries.op10_packing(spark, str(tmp_path)).collect() + corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
     assert [r.doc_tokens for r in rows if r.start == 0] == [5, 5] and len(rows) in (2, 4)
     assert all(r.ids_crc32 == want for r in rows if r.length == 5)
+
+
+def test_units_do_not_depend_on_the_splice(spark):
+    """Passages without any mark, and Chinese ones without white space, in the middle of other
+    lines."""
+    rng = random.Random(41)
+    chinese = lambda n: "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜") + "，" * (rng.random() < 0.1) for _ in range(n))
+    plain_text = lambda n: " ".join(words(rng, n))
+    for make, blank in ((plain_text, " "), (chinese, "")):
+        rows = []
+        for i in range(40):
+            passage = make(60)
+            rows += [(i, make(9) + blank + passage + blank + make(8)), (100 + i, make(14) + blank + passage + blank + make(5))]
+        found = {r.id: r for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert len(found) >= 38 and all(i >= 100 and r.kept_ids == [i - 100] and 30 <= r.n_words <= 66 for i, r in found.items())
+    assert [u[2] for u in substring.units("one two\nthree")] == [2, 1]
+    text = "  - Well, (this is) it: a long line of words; with marks!\n\n * next "
+    u = substring.units(text)
+    assert text[u[0][0] :].startswith("- Well") and text[: u[-1][1]].endswith("next") and sum(x[2] for x in u) == 12
