@@ -402,7 +402,7 @@ def _joined_groups(rows: DataFrame, by: list[str], k: int, whole: bool = False)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [(c, m, d, shingle_set(t.encode(), k)) for c, m, d, t in zip(pdf.cluster, pdf.component, pdf.doc, pdf.text, strict=True)]
-        links = tree_links(sets)
+        links = tree_links([r for r in sets if len(r[3])])  # an id may have a blank text besides
         if whole:
             local = _Local()
             for u, v in links:

@@ -651,3 +651,13 @@ def test_units_do_not_depend_on_the_splice(spark):
     text = "  - Well, (this is) it: a long line of words; with marks!\n\n * next "
     u = substring.units(text)
     assert text[u[0][0] :].startswith("- Well") and text[: u[-1][1]].endswith("next") and sum(x[2] for x in u) == 12
+
+
+def test_blank_row_of_an_id_in_a_cluster(spark):
+    rng = random.Random(31)
+    body = " ".join(words(rng, 60))
+    rows = [(1, body), (1, ""), (1, " \n"), (2, body + " end"), (3, "others alone")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(table).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+    assert sorted(r.doc_id for r in jaccard.keep_one_of_each(table).collect()) == [1, 1, 1, 3]
