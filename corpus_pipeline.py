@@ -26,9 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that stand earlier in the corpus; ``n_chars`` follows
+    """Texts without the passages of two lines or more that stand earlier in the corpus; ``n_chars`` follows
     the text. No document goes here, even if its whole text does."""
-    out = line_chunks.line_dedup(docs)
+    out = line_chunks.line_dedup(docs, every_pair=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

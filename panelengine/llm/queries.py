@@ -34,7 +34,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.line_dedup_report(_table(spark, sf_dir, "documents"))
+    return line_chunks.line_dedup_report(_table(spark, sf_dir, "documents"), every_pair=True)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

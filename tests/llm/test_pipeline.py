@@ -4,7 +4,7 @@ import collections
 
 import numpy as np
 import zstandard
-from test_texts import SF, brute_components, brute_hits, brute_line_dedup
+from test_texts import SF, brute_components, brute_hits, brute_line_dedup, brute_line_runs
 
 import corpus_pipeline as P
 from panelengine.llm import quality
@@ -53,3 +53,21 @@ def test_pipeline_of_nothing(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF).checkpoint()
         assert docs.count() == 0
+
+
+def test_pipeline_takes_whole_passages(spark):
+    """Line deduplication leaves no pair of lines that stands before; the stages after it agree
+    with brute force over what it leaves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    now = P.STAGES[0][1](spark, docs, SF).checkpoint()
+    deduped = brute_line_runs(sorted((r.doc_id, r.text or "") for r in now.collect()))
+    group = {i: c for i, _, c in brute_components(list(deduped.items()))}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    single = {i: t for i, t in deduped.items() if group[i] == i}
+    clean = {i: t for i, t in single.items() if not brute_hits(t, items)[-1]}
+    for (name, stage), want in zip(P.STAGES[1:4], (deduped, single, clean), strict=True):
+        now = stage(spark, now, SF).checkpoint()
+        got = {r.doc_id: r for r in now.collect()}
+        assert {i: r.text or "" for i, r in got.items()} == want, name
+        assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+    assert {r.doc_id for r in P.STAGES[4][1](spark, now, SF).collect()} == set(clean)

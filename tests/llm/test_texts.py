@@ -661,3 +661,35 @@ def test_blank_row_of_an_id_in_a_cluster(spark):
     got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(table).collect()}
     assert got == {(1, 1), (2, 1), (3, 3)}
     assert sorted(r.doc_id for r in jaccard.keep_one_of_each(table).collect()) == [1, 1, 1, 3]
+
+
+def brute_line_runs(rows):
+    """rows: (id, text), ids rising; what is left without the lines of pairs seen before."""
+    seen, out = {}, {}
+    for i, text in rows:
+        lines = text.split("\n")
+        full = [j for j, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for a, b in zip(full, full[1:], strict=False):
+            first = seen.setdefault("\n".join(lines[a : b + 1]), (i, b))
+            if first[0] != i or first[1] < a:
+                gone.update(range(a, b + 1))
+        left = "".join(x + "\n" for j, x in enumerate(lines) if j not in gone)
+        out[i] = left[:-1] if len(lines) - 1 not in gone else left
+    return out
+
+
+def test_spliced_lines_go_whole(spark):
+    rng = random.Random(51)
+    line = lambda: " ".join(words(rng, 8))
+    rows = []
+    for i in range(60):
+        passage = [line() for _ in range(2 + i % 6)]
+        rows += [(i, "\n".join([line(), *passage, line(), line()])), (100 + i, "\n".join([line(), line(), *passage, line()]))]
+    rows += [(300, "\n".join(["a b c"] * 5)), (301, "x\n\ny z\n \nw\n"), (302, "q\nx\n\ny z\n \nw\nend"), (303, "one line"), (304, "one line"), (305, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_line_runs(sorted(rows))
+    got = {r.doc_id: r for r in line_chunks.line_dedup_report(table, every_pair=True).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(got[i].n_removed == 0 and got[100 + i].n_spans == 1 and got[100 + i].text.count("\n") == 2 for i in range(60))
+    assert all(r.n_removed == len(dict(rows)[i]) - len(r.text) for i, r in got.items()) and got[300].text == "a b c\na b c\n"
