@@ -24,12 +24,15 @@ from panelengine.session import ensure_checkpoint_dir
 
 #: rows of one Arrow batch: whole texts are long, so batches are kept short
 BATCH_ROWS = 512
+#: and its bytes, unless a single text has more
+BATCH_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Short Arrow batches, so that a worker holds few long texts at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") != str(most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def _scratch(spark: SparkSession) -> str:

@@ -79,9 +79,100 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def _resample(buckets: int = 10_000, percent: int = 25, least: int = 20, seed: int = 7) -> str:
+    words = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    # checksum by half bytes, low half first, through a table of 16 entries made by its rule
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    entries = f"[{', '.join(f'{x}::BIGINT' for x in table)}]"
+    halves = "list_transform(range(0, len(x)), lambda i: CAST(strpos('0123456789ABCDEF', substr(x, CAST(i // 2 * 2 + 2 - i % 2 AS INTEGER), 1)) - 1 AS BIGINT))"
+    # ``CROSS JOIN`` on one-row totals only
+    return rf"""
+WITH raw AS (
+  SELECT doc_id, 0 AS kind, regexp_extract_all({_LOW.format('text')}, {words}) AS w FROM documents
+  UNION ALL SELECT NULL, 1, regexp_extract_all({_LOW.format('text')}, {words}) FROM benchmark),
+f AS (SELECT doc_id, kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM raw),
+d AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+c AS (
+  SELECT f, xor(list_reduce({halves}, lambda a, b: xor(list_extract({entries}, CAST(xor(a, b) & 15 AS INTEGER) + 1), a >> 4), 4294967295::BIGINT), 4294967295::BIGINT) % {buckets} AS bucket
+  FROM d),
+n AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f JOIN c USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (ss + {buckets})) / (CAST(s + 1 AS DOUBLE) * (tt + {buckets})))) AS gain
+  FROM n CROSS JOIN (SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(sum(t) AS DOUBLE) AS tt FROM n)),
+w AS (SELECT doc_id, floor(sum(gain) / count(*)) AS weight FROM f JOIN c USING (f) JOIN g USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+h AS (SELECT doc_id, len(w) AS n_words, CAST('0x' || substr(sha256('{seed}:' || doc_id), 1, 8) AS BIGINT) AS h FROM raw WHERE kind = 0),
+r AS (
+  SELECT doc_id, n_words, CAST(CASE WHEN n_words = 0 THEN 0 ELSE 2 * n_words - 1 END AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM h LEFT JOIN w USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {least} ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= {least}) AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {least} AND place <= {percent} * n // 100 THEN place END AS rank FROM o"""
+
+
+def _chat_format() -> str:
+    from .chat import CONTROLS, END, SEP, TURN
+
+    quoted = lambda s: "".join("\\" + c if c in "[]|" else c for c in s)
+    text = lambda c: f"coalesce({c}, '')"
+
+    def escaped(column: str) -> str:
+        out = text(column)
+        for c in CONTROLS:
+            out = rf"regexp_replace({out}, '({quoted(c[0])})(\\*{quoted(c[1:])})', '\1\\\2', 'g')"
+        return out
+
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg({text('role')} || chr(10) || {text('text')} || chr(10), '' ORDER BY turn) AS turns,
+         coalesce(string_agg({text('text')}, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+         CAST(sum(length({escaped('role')}) + length({escaped('text')}) + {len(TURN + SEP + END)}) AS BIGINT) AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain squared distances, in doubles that hold whole numbers."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM (SELECT *, unnest(range({parts})) AS part FROM v))""",
+        f"""b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))""",
+    ]
+    distance = "list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x)"
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, part, CAST(dd % 1000 AS BIGINT) AS entry, CAST(dd // 1000 AS BIGINT) AS dist
+  FROM (SELECT vec_id, part, min(CAST({distance} AS BIGINT) * 1000 + entry) AS dd FROM p JOIN b{r} b USING (part) GROUP BY vec_id, part))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY k) AS x FROM (
+      SELECT part, entry, k, floor(sum(x[k]) / count(*)) AS m FROM (SELECT part, entry, p.x AS x, unnest(range(1, len(p.x) + 1)) AS k FROM p JOIN a{r} USING (vec_id, part)) GROUP BY part, entry, k)
+    GROUP BY part, entry) n USING (part, entry))"""
+            )
+    return f"""
+WITH {','.join(steps)},
+e AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS k FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (vec_id) CROSS JOIN s"""
+
+
 ORACLE = {
     "op2_secrets": _secrets(),
     "op4_decontaminate": _decontaminate(),
     "op6_warc": _warc(),
     "op8_jaccard": _jaccard(),
+    "op11_resample": _resample(),
+    "op12_chat_format": _chat_format(),
+    "op13_vector_codes": _vector_codes(),
 }

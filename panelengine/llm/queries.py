@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_chunks, packing, pii, quality, secrets, substring, toxicity, warc
+from . import chat, decontaminate, importance, jaccard, line_chunks, packing, pii, quality, secrets, substring, toxicity, vector_codes, warc
+from .common import as_table
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -61,6 +62,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: the conversation added to the table: control strings of a template, said by both sides
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("conv_id", "turn", "role", "text")
+    rows = _table(spark, sf_dir, "conversations").select(*columns)
+    added = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(CONTROL_TEXT)).toDF(*columns)
+    formatted = as_table(chat.format_chats(chat.records_of(rows.union(added))), "chats")
+    return chat.chat_report(formatted, "conv_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -72,4 +93,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_resample": op11_resample,
+    "op12_chat_format": op12_chat_format,
+    "op13_vector_codes": op13_vector_codes,
 }
