@@ -166,6 +166,17 @@ class LinearModel:
             out.append(e.alias(f"{prefix}{name}"))
         return out
 
+    def total_from(self, features: dict[str, Column], targets: list[str]) -> Column:
+        """Sum of the predictions of ``targets`` from feature columns by name (also inside a
+        lambda, where a feature is no column of the frame), as one dot product; features that
+        are not given count as 0.0."""
+        at = [self.targets.index(t) for t in targets]
+        e = F.lit(float(self.intercept[at].sum()))
+        for c, b in zip(self.features, self.coef[:, at].sum(1)):
+            if b != 0.0 and c in features:
+                e = e + F.lit(float(b)) * features[c].cast("double")
+        return e
+
     def coefficient_table(self, spark: SparkSession, version: str = "v1") -> DataFrame:
         rows = []
         for t, name in enumerate(self.targets):

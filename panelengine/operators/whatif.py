@@ -8,6 +8,7 @@ history context (one row per entity); nothing is looped per request.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,51 +132,56 @@ def clip_levers(df: DataFrame, src: str = "filled", dst: str = "clipped") -> Dat
     return df.withColumn(dst, F.struct(*out))
 
 
-def request_features(df: DataFrame, levers: str = "clipped", month_without_history: int | None = None) -> DataFrame:
-    """Feature row of a request from its levers and its history context (the serving-time
-    formulas, which differ from the training ones).  Without history the lag / rolling
-    inputs fall back to the request's own values, and the month is the given one (default:
-    the current one)."""
-    L = lambda n: F.col(f"{levers}.{n}")
+def request_feature_columns(L: Callable[[str], Column], month_without_history: int | None = None, only: set[str] | None = None) -> dict[str, Column]:  # noqa: N803
+    """Features of a request by name, from its levers (``L`` gives a lever's column) and its
+    history context; see ``request_features``. ``only`` names the wanted ones."""
+    c, one = F.col, dbl(1.0)
     m, r, price = L("total_members"), L("retention_rate"), L("avg_ticket_price")
     att, classes, util, upsell = L("class_attendance_rate"), L("total_classes_held"), L("staff_utilization_rate"), L("upsell_rate")
-    membership = m * price
-    class_pack = classes * 20 * att * 0.2 * 15
-    retail = m * 10 * 0.3
-    total = membership + class_pack + retail
-    staff = F.greatest(F.lit(5), F.floor(m / 25).cast("long"))
-    has_hist = F.col("n_hist").isNotNull() & (F.col("n_hist") > 0)
-    enough = has_hist & (F.col("n_hist") >= 3)
-    prev_rev = F.when(has_hist, F.col("last_revenue")).otherwise(total)
-    prev_mem = F.when(has_hist, F.col("last_members")).otherwise(m)
-    feats = {
-        "total_members": m, "new_members": L("new_members"), "retention_rate": r, "avg_ticket_price": price,
-        "class_attendance_rate": att, "total_classes_held": classes, "staff_utilization_rate": util, "upsell_rate": upsell,
-        "churned_members": F.floor(m * (1 - r)).cast("long"),
+    membership = lambda: m * price
+    class_pack = lambda: classes * 20 * att * 0.2 * 15
+    retail = lambda: m * 10 * 0.3
+    total = lambda: membership() + class_pack() + retail()
+    staff = lambda: F.greatest(F.lit(5), F.floor(m / 25).cast("long"))
+    has_hist = lambda: c("n_hist").isNotNull() & (c("n_hist") > 0)
+    enough = lambda: has_hist() & (c("n_hist") >= 3)
+    prev_rev = lambda: F.when(has_hist(), c("last_revenue")).otherwise(total())
+    prev_mem = lambda: F.when(has_hist(), c("last_members")).otherwise(m)
+    recent = lambda name, other: F.when(enough(), c(name)).otherwise(other)
+    grown = lambda now, before: F.when(has_hist(), (now - before) / F.greatest(before, one)).otherwise(dbl(0.0))
+    month = lambda: F.coalesce(F.month(c("last_month")), F.month(F.current_date()) if month_without_history is None else F.lit(month_without_history))
+    angle = lambda: dbl(2 * math.pi) * month() / 12.0
+    specs: dict[str, Callable[[], Column]] = {
+        **{n: (lambda n=n: L(n)) for n in ("total_members", "new_members", "retention_rate", "avg_ticket_price", "class_attendance_rate", "total_classes_held", "staff_utilization_rate", "upsell_rate")},
+        "churned_members": lambda: F.floor(m * (1 - r)).cast("long"),
         "membership_revenue": membership, "class_pack_revenue": class_pack, "retail_revenue": retail, "total_revenue": total,
-        "staff_count": staff, "total_class_attendance": F.floor(classes * 20 * att).cast("long"),
-        "revenue_per_member": total / F.greatest(m, dbl(1.0)), "churn_rate": 1 - r, "class_utilization": att,
-        "staff_per_member": staff / F.greatest(m, dbl(1.0)), "estimated_ltv": price * r * 12,
-        "membership_revenue_pct": membership / F.greatest(total, dbl(1.0)),
-        "class_pack_revenue_pct": class_pack / F.greatest(total, dbl(1.0)),
+        "staff_count": staff, "total_class_attendance": lambda: F.floor(classes * 20 * att).cast("long"),
+        "revenue_per_member": lambda: total() / F.greatest(m, one), "churn_rate": lambda: 1 - r, "class_utilization": lambda: att,
+        "staff_per_member": lambda: staff() / F.greatest(m, one), "estimated_ltv": lambda: price * r * 12,
+        "membership_revenue_pct": lambda: membership() / F.greatest(total(), one),
+        "class_pack_revenue_pct": lambda: class_pack() / F.greatest(total(), one),
         "prev_month_revenue": prev_rev, "prev_month_members": prev_mem,
-        "3m_avg_retention": F.when(enough, F.col("tail3_avg_retention")).otherwise(r),
-        "3m_avg_revenue": F.when(enough, F.col("tail3_avg_revenue")).otherwise(prev_rev),
-        "3m_avg_attendance": F.when(enough, F.col("tail3_avg_attendance")).otherwise(att),
-        "3m_std_revenue": F.when(enough, F.col("tail3_std_revenue")).otherwise(dbl(0.0)),
-        "revenue_momentum": F.when(enough, F.col("ewm_revenue")).otherwise(prev_rev),
-        "mom_revenue_growth": F.when(has_hist, (total - prev_rev) / F.greatest(prev_rev, dbl(1.0))).otherwise(dbl(0.0)),
-        "mom_member_growth": F.when(has_hist, (m - prev_mem) / F.greatest(prev_mem, dbl(1.0))).otherwise(dbl(0.0)),
-        "retention_x_ticket": r * price, "attendance_x_classes": att * classes, "upsell_x_members": upsell * m,
-        "staff_util_x_members": util * m,
+        "3m_avg_retention": lambda: recent("tail3_avg_retention", r),
+        "3m_avg_revenue": lambda: recent("tail3_avg_revenue", prev_rev()),
+        "3m_avg_attendance": lambda: recent("tail3_avg_attendance", att),
+        "3m_std_revenue": lambda: recent("tail3_std_revenue", dbl(0.0)),
+        "revenue_momentum": lambda: recent("ewm_revenue", prev_rev()),
+        "mom_revenue_growth": lambda: grown(total(), prev_rev()),
+        "mom_member_growth": lambda: grown(m, prev_mem()),
+        "retention_x_ticket": lambda: r * price, "attendance_x_classes": lambda: att * classes, "upsell_x_members": lambda: upsell * m,
+        "staff_util_x_members": lambda: util * m,
+        "month_index": month, "month_sin": lambda: F.sin(angle()), "month_cos": lambda: F.cos(angle()),
+        "is_january": lambda: (month() == 1).cast("int"), "is_summer": lambda: month().isin(6, 7, 8).cast("int"), "is_fall": lambda: (month() == 9).cast("int"),
     }
-    now = F.month(F.current_date()) if month_without_history is None else F.lit(month_without_history)
-    month = F.coalesce(F.month(F.col("last_month")), now)
-    angle = dbl(2 * math.pi) * month / 12.0
-    feats.update({
-        "month_index": month, "month_sin": F.sin(angle), "month_cos": F.cos(angle), "is_january": (month == 1).cast("int"), "is_summer": month.isin(6, 7, 8).cast("int"),
-        "is_fall": (month == 9).cast("int"),
-    })
+    return {name: make() for name, make in specs.items() if only is None or name in only}
+
+
+def request_features(df: DataFrame, levers: str = "clipped", month_without_history: int | None = None) -> DataFrame:
+    """Feature row of a request from its levers and its history context (the serving-time
+    formulas, which differ from the training ones).  Without history the lag / rolling
+    inputs fall back to the request's own values, and the month is the given one (default:
+    the current one)."""
+    feats = request_feature_columns(lambda n: F.col(f"{levers}.{n}"), month_without_history)
     return df.select("*", *[v.alias(k) for k, v in feats.items()])
 
 
@@ -346,7 +352,7 @@ def objective_multi(revenue: Column, target: Column, current: str, cand: str, ob
     return err * err - keep * (x("retention_rate") - y("retention_rate")) - grow * (members - y("total_members")) * 0.001 + 0.1 * cost
 
 
-def inverse_search(df: DataFrame, revenue_of, keys: list[str], current: str = "clipped") -> DataFrame:
+def line_search(df: DataFrame, revenue_of, keys: list[str], current: str = "clipped") -> DataFrame:
     """Levers that bring the predicted revenue to ``target_revenue``.
 
     All levers move together along the way from their current values (f = 0) to the upper

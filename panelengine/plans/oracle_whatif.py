@@ -191,6 +191,8 @@ PRIORITY = {"retention_rate": 1, "avg_ticket_price": 2, "new_members": 3, "upsel
 WEEKS = {"retention_rate": 8, "avg_ticket_price": 4, "new_members": 6, "upsell_rate": 3, "class_attendance_rate": 2, "staff_utilization_rate": 2, "total_classes_held": 2, "total_members": 12}
 #: scenario: (retention, ticket, new members) increases allowed, or no limits
 SCENARIOS = {"free": None, "gentle": (0.02, 5.0, 3.0), "bold": (0.1, 50.0, 30.0)}
+#: the scenario with several objectives
+MULTI = "scenario = 'bold'"
 
 
 def case(x: str, table: dict, then=str) -> str:
@@ -225,8 +227,8 @@ def _target(scenarios: bool) -> str:
     return f"base AS (SELECT *, (r1 + r2 + r3) * {d(1.1)} AS target_revenue, {bounds_sql()} FROM {source})"
 
 
-def search(scenarios: bool = False) -> str:
-    """CTEs up to ``inv``: the best row of every request (and scenario), columns x_ (as searched)
+def line_search(scenarios: bool = False) -> str:
+    """CTEs up to ``inv``: the best row on the line of every request (and scenario), columns x_ (as searched)
     and y_ (as reported), revenue, objective, f."""
     out = [SCORED, _target(scenarios)]
     for r in range(5):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import confidence_level, dbl, round2
+from ..operators import search as S
 from ..operators import whatif as WI
 from ..spec import LEVERS
 from . import oracle_whatif as O
@@ -18,6 +19,7 @@ from .catalog import register
 from .common import materialize, raw
 from .fixed_model import LEVER_MODELS, MODEL
 from .oracle_panel import r2
+from .oracle_search import search
 from .oracle_whatif import FALLBACK_MONTH, wsql
 
 CONTEXT = [
@@ -200,11 +202,16 @@ TARGET_FACTOR = 1.1
 KEYS = ["request_id", "scenario"]
 #: scenario name -> allowed increases of retention, ticket and new members (None: no limits)
 SCENARIOS = {"free": None, "gentle": (0.02, 5.0, 3.0), "bold": (0.1, 50.0, 30.0)}
+#: scenarios that weigh retention, growth and cost beside the revenue
+MULTI_SCENARIOS = ("bold",)
 
 
-def inverse(spark, sf, scenarios: dict | None = None) -> DataFrame:
-    """The search for 1.1 times the current three months' revenue, per request (with the
-    request's own constraints) or per request and scenario."""
+def revenue_of_levers(lever) -> Column:
+    """Predicted revenue of three months for a function from a lever's name to its column."""
+    return MODEL.total_from(WI.request_feature_columns(lever, FALLBACK_MONTH, set(MODEL.features)), [f"revenue_month_{i}" for i in (1, 2, 3)])
+
+
+def _search_base(spark, sf, scenarios: dict | None) -> DataFrame:
     s = scored(spark, sf)
     base = s.select("request_id", "clipped", "constraints", *CONTEXT, (_revenue3(s) * dbl(TARGET_FACTOR)).alias("target_revenue"), _revenue3(s).alias("current_revenue"))
     if scenarios is None:
@@ -214,7 +221,14 @@ def inverse(spark, sf, scenarios: dict | None = None) -> DataFrame:
         none = F.lit(None).cast("struct<" + ",".join(f"{n}:double" for n in names) + ">")
         rows = [F.struct(F.lit(k).alias("scenario"), (none if v is None else F.struct(*[dbl(x).alias(n) for x, n in zip(v, names)])).alias("constraints")) for k, v in scenarios.items()]
         base = base.drop("constraints").withColumn("x", F.explode(F.array(*rows))).select("*", "x.*").drop("x")
-    found = WI.inverse_search(WI.optimization_bounds(base).drop("constraints"), three_months, KEYS)
+    return WI.optimization_bounds(base).drop("constraints")
+
+
+def inverse(spark, sf, scenarios: dict | None = None, multi: Column | None = None) -> DataFrame:
+    """The search for 1.1 times the current three months' revenue, per request (with the
+    request's own constraints) or per request and scenario; ``multi`` says which rows have
+    several objectives."""
+    found = S.best_levers(_search_base(spark, sf, scenarios), revenue_of_levers, "request_id", multi=multi)
     return materialize(found.withColumn("recommended", WI.rounded_levers("optimized")))
 
 
@@ -254,21 +268,43 @@ def q_optimization_bounds(spark, sf):
     return b.select("request_id", F.explode(rows).alias("x")).select("request_id", "x.*")
 
 
-@register(
-    "inverse_search",
-    wsql(f"SELECT request_id, {r2('f', 5)} AS f, {r2('target_revenue')} AS target_revenue, {r2('revenue')} AS predicted_revenue, " + ", ".join(f"{r2(f'y_{lv}', 4)} AS {lv}" for lv in O.LV) + " FROM inv", O.search()),
-)
+_FOUND = ", ".join(f"{r2(f'y_{lv}', 4)} AS {lv}" for lv in O.LV)
+
+
+def _found(x: DataFrame) -> list[Column]:
+    return [round2("target_revenue").alias("target_revenue"), round2("revenue").alias("predicted_revenue"), *[round2(f"recommended.{lv}", 4).alias(lv) for lv in LEVERS]]
+
+
+@register("inverse_line_search", wsql(f"SELECT request_id, {r2('f', 5)} AS f, {r2('target_revenue')} AS target_revenue, {r2('revenue')} AS predicted_revenue, {_FOUND} FROM inv", O.line_search()))
+def q_inverse_line_search(spark, sf):
+    """All levers together along one line, by one factor."""
+    x = WI.line_search(_search_base(spark, sf, None), three_months, KEYS).withColumn("recommended", WI.rounded_levers("optimized"))
+    return x.select("request_id", round2("f", 5).alias("f"), *_found(x))
+
+
+@register("inverse_search", wsql(f"SELECT request_id, method, {r2('target_revenue')} AS target_revenue, {r2('revenue')} AS predicted_revenue, {_FOUND} FROM inv", search()))
 def q_inverse_search(spark, sf):
+    """Every lever on its own: the best of all methods."""
     x = inverse(spark, sf)
-    return x.select("request_id", round2("f", 5).alias("f"), round2("target_revenue").alias("target_revenue"), round2("revenue").alias("predicted_revenue"), *[round2(f"recommended.{lv}", 4).alias(lv) for lv in LEVERS])
+    return x.select("request_id", "method", *_found(x))
+
+
+@register(
+    "inverse_search_multi",
+    wsql(f"SELECT request_id, method, {r2('objective', 6)} AS objective, {r2('target_revenue')} AS target_revenue, {r2('revenue')} AS predicted_revenue, {_FOUND} FROM inv", search(multi="true")),
+)
+def q_inverse_search_multi(spark, sf):
+    """The search driven by revenue, retention, growth and cost together."""
+    x = inverse(spark, sf, multi=F.lit(True))
+    return x.select("request_id", "method", round2("objective", 6).alias("objective"), *_found(x))
 
 
-@register("objective_single", wsql(f"SELECT request_id, {r2('objective', 2)} AS objective FROM inv", O.search()))
+@register("objective_single", wsql(f"SELECT request_id, {r2('objective', 2)} AS objective FROM inv", search()))
 def q_objective_single(spark, sf):
     return inverse(spark, sf).select("request_id", round2("objective", 2).alias("objective"))
 
 
-@register("objective_multi", wsql(f"SELECT request_id, {r2(O.multi_objective(), 6)} AS objective FROM inv", O.search()))
+@register("objective_multi", wsql(f"SELECT request_id, {r2(O.multi_objective(), 6)} AS objective FROM inv", search()))
 def q_objective_multi(spark, sf):
     x = inverse(spark, sf)
     return x.select("request_id", round2(WI.objective_multi(F.col("revenue"), F.col("target_revenue"), "clipped", "optimized"), 6).alias("objective"))
@@ -277,7 +313,7 @@ def q_objective_multi(spark, sf):
 @register(
     "achievement",
     wsql("SELECT request_id, least(revenue / target_revenue, 1) >= 0.999999 OR round_even(least(revenue / target_revenue, 1) * 1e6, 0) / 1e6 >= 1 AS reached, "
-         f"{r2('least(revenue / target_revenue, 1)', 6)} AS achievement, abs(revenue - target_revenue) <= 0.01 * target_revenue AS success FROM inv", O.search()),
+         f"{r2('least(revenue / target_revenue, 1)', 6)} AS achievement, abs(revenue - target_revenue) <= 0.01 * target_revenue AS success FROM inv", search()),
 )
 def q_achievement(spark, sf):
     x = inverse(spark, sf)
@@ -288,7 +324,7 @@ def q_achievement(spark, sf):
     )
 
 
-@register("local_sensitivity", wsql(f"SELECT request_id, lever, {r2('sensitivity', 6)} AS sensitivity FROM pr", f"{O.search()},\n{O.probes()}"))
+@register("local_sensitivity", wsql(f"SELECT request_id, lever, {r2('sensitivity', 6)} AS sensitivity FROM pr", f"{search()},\n{O.probes()}"))
 def q_local_sensitivity(spark, sf):
     return _sensitivity(inverse(spark, sf)).select("request_id", "lever", round2("sensitivity", 6).alias("sensitivity"))
 
@@ -298,7 +334,7 @@ def q_local_sensitivity(spark, sf):
     wsql(
         f"SELECT request_id, lever, {r2('current', 4)} AS current, {r2('proposed', 4)} AS proposed, {r2('change', 4)} AS change, {r2('change_pct', 4)} AS change_pct, difficulty, "
         f"CAST(feasibility_score AS DOUBLE) AS feasibility_score, priority, {r2('sensitivity', 6)} AS sensitivity FROM ch",
-        f"{O.search()},\n{O.probes()},\n{O.changes()}",
+        f"{search()},\n{O.probes()},\n{O.changes()}",
     ),
 )
 def q_lever_changes(spark, sf):
@@ -311,7 +347,7 @@ def q_lever_changes(spark, sf):
 
 @register(
     "sort_changes",
-    wsql("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority, lever_no) AS INTEGER) AS place, lever, priority FROM ch", f"{O.search()},\n{O.probes()},\n{O.changes()}"),
+    wsql("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority, lever_no) AS INTEGER) AS place, lever, priority FROM ch", f"{search()},\n{O.probes()},\n{O.changes()}"),
 )
 def q_sort_changes(spark, sf):
     order = F.create_map(*[x for i, lv in enumerate(LEVERS) for x in (F.lit(lv), F.lit(i))])[F.col("lever")]
@@ -328,7 +364,7 @@ def q_sort_changes(spark, sf):
 FROM (SELECT *, sum(abs(sensitivity)) OVER (PARTITION BY request_id) AS total, count(*) OVER (PARTITION BY request_id) AS n
       FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY priority, lever_no) AS step FROM ch) WHERE step <= 6)
 JOIN (SELECT request_id, revenue, r1, r2, r3 FROM inv) USING (request_id)""",
-        f"{O.search()},\n{O.probes()},\n{O.changes()}",
+        f"{search()},\n{O.probes()},\n{O.changes()}",
     ),
 )
 def q_action_plan(spark, sf):
@@ -351,7 +387,7 @@ _SPREAD = ("mean_revenue", "std_revenue", "revenue_low", "revenue_high")
 
 @register(
     "uncertainty",
-    wsql("SELECT request_id, " + ", ".join(f"{r2(c, 3)} AS {c}" for c in _SPREAD) + f", {r2('cv', 6)} AS cv FROM un", f"{O.search()},\n{O.perturbations()}"),
+    wsql("SELECT request_id, " + ", ".join(f"{r2(c, 3)} AS {c}" for c in _SPREAD) + f", {r2('cv', 6)} AS cv FROM un", f"{search()},\n{O.perturbations()}"),
 )
 def q_uncertainty(spark, sf):
     return _spread(inverse(spark, sf)).select("request_id", *[round2(c, 3).alias(c) for c in _SPREAD], round2("cv", 6).alias("cv"))
@@ -359,7 +395,7 @@ def q_uncertainty(spark, sf):
 
 @register(
     "optimization_confidence",
-    wsql(f"SELECT request_id, success, {r2('achievement_rate', 6)} AS achievement_rate, {r2('confidence_score', 6)} AS confidence_score FROM co", f"{O.search()},\n{O.perturbations()},\n{O.confidence()}"),
+    wsql(f"SELECT request_id, success, {r2('achievement_rate', 6)} AS achievement_rate, {r2('confidence_score', 6)} AS confidence_score FROM co", f"{search()},\n{O.perturbations()},\n{O.confidence()}"),
 )
 def q_optimization_confidence(spark, sf):
     c = _confidence(inverse(spark, sf))
@@ -373,11 +409,11 @@ _OVERALL = "achievement_rate * 0.4e0 + confidence_score * 0.3e0 + feasibility_sc
     "compare_optimization_scenarios",
     wsql(
         f"SELECT request_id, scenario, {r2('revenue')} AS predicted_revenue, {r2(_OVERALL, 6)} AS overall_score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round({_OVERALL}, 6) DESC, scenario) AS INTEGER) AS rank FROM co",
-        f"{O.search(scenarios=True)},\n{O.perturbations()},\n{O.confidence()}",
+        f"{search(scenarios=True, multi=O.MULTI)},\n{O.perturbations()},\n{O.confidence()}",
     ),
 )
 def q_compare_optimization_scenarios(spark, sf):
-    c = _confidence(inverse(spark, sf, SCENARIOS))
+    c = _confidence(inverse(spark, sf, SCENARIOS, F.col("scenario").isin(*MULTI_SCENARIOS)))
     score = F.col("achievement_rate") * 0.4 + F.col("confidence_score") * 0.3 + F.col("overall_score") * 0.3
     w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 6)), "scenario")
     return c.withColumn("score", score).select("request_id", "scenario", round2("revenue").alias("predicted_revenue"), round2("score", 6).alias("overall_score"), F.row_number().over(w).alias("rank"))
@@ -392,7 +428,7 @@ def q_compare_optimization_scenarios(spark, sf):
   CASE WHEN coalesce(avg_change, 0) <= 15 THEN 'minor' WHEN avg_change <= 30 THEN 'moderate' ELSE 'significant' END AS change_factor,
   {r2('2500.0 / NULLIF(mean_revenue, 0) * 100')} AS rmse_pct, {r2('1800.0 / NULLIF(mean_revenue, 0) * 100')} AS mae_pct
 FROM co LEFT JOIN (SELECT request_id, avg(abs(change_pct)) AS avg_change, count(*) AS n FROM ch GROUP BY request_id) USING (request_id)""",
-        f"{O.search()},\n{O.probes()},\n{O.changes()},\n{O.perturbations()},\n{O.confidence()}",
+        f"{search()},\n{O.probes()},\n{O.changes()},\n{O.perturbations()},\n{O.confidence()}",
     ),
 )
 def q_inverse_metrics(spark, sf):

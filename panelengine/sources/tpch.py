@@ -116,7 +116,18 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation", drop_op
         product_aggs.append(F.count_if(cond).alias(product_count_column(product)))
 
     # (customer, month): bounded rows per customer no matter how skewed orders are
-    cm = ol.groupBy("o_custkey", "month").agg(
+    if level == "nation":
+        cust = customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("entity_id"))
+        ol = ol.join(cust, ol.o_custkey == cust.c_custkey).drop("c_custkey")
+    elif level == "customer":
+        ol = ol.withColumn("entity_id", F.col("o_custkey").cast("bigint"))
+    else:
+        raise ValueError(f"unknown panel level {level!r}")
+    # read twice (sums, and suppliers below): one row per order, written once
+    ensure_checkpoint_dir(spark)
+    ol = ol.checkpoint()
+
+    cm = ol.groupBy("entity_id", "o_custkey", "month").agg(
         F.sum("price").alias("revenue"),
         F.count(F.lit(1)).alias("n_orders"),
         F.sum("qty").alias("qty"),
@@ -126,7 +137,6 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation", drop_op
         F.sum(F.when(prio == CLASS_PACK_PRIORITY, price).otherwise(dec0)).alias("class_pack_revenue"),
         F.sum(F.when(prio == RETAIL_PRIORITY, price).otherwise(dec0)).alias("retail_revenue"),
         F.sum(F.when(prio == ADDON_PRIORITY, price).otherwise(dec0)).alias("addon_revenue"),
-        F.array_distinct(F.flatten(F.collect_list("suppliers"))).alias("suppliers"),
         *product_aggs,
     )
     wc = Window.partitionBy("o_custkey").orderBy("month")
@@ -135,20 +145,9 @@ def build_panel(spark: SparkSession, sf_dir: str, level: str = "nation", drop_op
         "is_retained", F.coalesce((prev_active == F.add_months("month", -1)).cast("int"), F.lit(0))
     )
 
-    if level == "nation":
-        cust = customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("entity_id"))
-        cm = cm.join(cust, cm.o_custkey == cust.c_custkey).drop("c_custkey")
-    elif level == "customer":
-        cm = cm.withColumn("entity_id", F.col("o_custkey").cast("bigint"))
-    else:
-        raise ValueError(f"unknown panel level {level!r}")
-
-    # read twice (sums, and suppliers below): one row per customer and month, written once
-    ensure_checkpoint_dir(spark)
-    cm = cm.checkpoint()
     # distinct suppliers per (entity, month); the entity is known, so equal rows combine map-side
     staff = (
-        cm.select("entity_id", "month", F.explode("suppliers").alias("supplier"))
+        ol.select("entity_id", "month", F.explode("suppliers").alias("supplier"))
         .distinct()
         .groupBy("entity_id", "month")
         .agg(F.count(F.lit(1)).alias("staff_count"))

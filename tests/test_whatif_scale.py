@@ -75,11 +75,11 @@ def test_requests_cover_the_bounds(spark):
 
 
 @pytest.mark.parametrize("target", [500.0, 2000.0, 5200.0])
-def test_inverse_search_reaches_targets(spark, target):
+def test_line_search_reaches_targets(spark, target):
     now = F.struct(*[F.lit(float(d)).alias(lv) for lv, (_, _, d, _) in LEVERS.items()])
     df = spark.range(1).select(F.col("id").alias("request_id"), F.lit("a").alias("scenario"), now.alias("clipped"), F.lit(None).cast("struct<max_retention_increase:double,max_ticket_increase:double,max_new_members_increase:double>").alias("constraints"), F.lit(target).alias("target_revenue"))
     revenue = lambda x, levers: x.withColumn("revenue", F.col(f"{levers}.avg_ticket_price") * 10 + F.col(f"{levers}.retention_rate") * 200)
-    r = WI.inverse_search(WI.optimization_bounds(df), revenue, ["request_id", "scenario"]).first()
+    r = WI.line_search(WI.optimization_bounds(df), revenue, ["request_id", "scenario"]).first()
     reach = min(max(target, 50 * 10 + 0.5 * 200), 500 * 10 + 200)
     assert abs(r.revenue - reach) <= 0.01 * reach and -1 <= r.f <= 1
 
