@@ -160,12 +160,16 @@ def fingerprint_counts(canonical_records: DataFrame) -> DataFrame:
 
 
 def escaped(text: Column) -> Column:
-    """``text`` with a backslash more inside every control string; only those change."""
-    return F.regexp_replace(text, _FAMILY, r"\\")
+    """``text`` with a backslash more inside every control string; only those change. Most
+    texts have no first character of one and are not searched further."""
+    some = F.lit(False)
+    for first in sorted({c[0] for c in CONTROLS}):
+        some = some | F.contains(text, F.lit(first))
+    return F.when(some, F.regexp_replace(text, _FAMILY, r"\\")).otherwise(text)
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, _ESCAPED, "")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, _ESCAPED, "")).otherwise(text)
 
 
 def segments(turns: Column, trained: tuple[str, ...] = TRAINED) -> Column:
