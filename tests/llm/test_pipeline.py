@@ -4,18 +4,19 @@ import collections
 
 import numpy as np
 import zstandard
-from test_texts import SF, brute_components, brute_hits, brute_line_dedup, brute_line_runs
+from test_texts import SF, brute_components, brute_hits, brute_line_runs
 
 import corpus_pipeline as P
 from panelengine.llm import quality
 
 
 def test_pipeline_against_brute_force(spark):
+    """Every stage, and the packed pieces, against brute force over what the stage before left."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     codec = zstandard.ZstdCompressor(level=quality.LEVEL)
     kept = {i: r.text for i, r in rows.items() if quality.measure((r.text or "").encode(), codec)[6]}
-    deduped = {k[0]: t for k, t in brute_line_dedup({(i, 0, t) for i, t in kept.items()}).items()}
+    deduped = brute_line_runs(sorted((i, t or "") for i, t in kept.items()))
     group = {i: c for i, _, c in brute_components(list(deduped.items()))}
     single = {i: t for i, t in deduped.items() if group[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -29,15 +30,15 @@ def test_pipeline_against_brute_force(spark):
         now = stage(spark, now, SF).checkpoint()
         assert now.columns == docs.columns
         got = now.collect()
-        assert {r.doc_id: r.text for r in got} == want[name] and len(got) == len(want[name]), name
-        assert all((r.lang, r.source) == (rows[r.doc_id].lang, rows[r.doc_id].source) and r.n_chars == (len(r.text) if name != "quality" else rows[r.doc_id].n_chars) for r in got)
+        assert {r.doc_id: r.text or "" for r in got} == {i: t or "" for i, t in want[name].items()} and len(got) == len(want[name]), name
+        assert all((r.lang, r.source) == (rows[r.doc_id].lang, rows[r.doc_id].source) for r in got)
+        assert all(r.text is None or r.n_chars == (len(r.text) if name != "quality" else rows[r.doc_id].n_chars) for r in got)
 
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    pieces = P.run(spark, SF).collect()
+    pieces = P.STAGES[4][1](spark, now, SF).collect()
     total = collections.Counter()
     for p in pieces:
         total[p.doc_id] += p.length
@@ -53,21 +54,3 @@ def test_pipeline_of_nothing(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF).checkpoint()
         assert docs.count() == 0
-
-
-def test_pipeline_takes_whole_passages(spark):
-    """Line deduplication leaves no pair of lines that stands before; the stages after it agree
-    with brute force over what it leaves."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    now = P.STAGES[0][1](spark, docs, SF).checkpoint()
-    deduped = brute_line_runs(sorted((r.doc_id, r.text or "") for r in now.collect()))
-    group = {i: c for i, _, c in brute_components(list(deduped.items()))}
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    single = {i: t for i, t in deduped.items() if group[i] == i}
-    clean = {i: t for i, t in single.items() if not brute_hits(t, items)[-1]}
-    for (name, stage), want in zip(P.STAGES[1:4], (deduped, single, clean), strict=True):
-        now = stage(spark, now, SF).checkpoint()
-        got = {r.doc_id: r for r in now.collect()}
-        assert {i: r.text or "" for i, r in got.items()} == want, name
-        assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
-    assert {r.doc_id for r in P.STAGES[4][1](spark, now, SF).collect()} == set(clean)

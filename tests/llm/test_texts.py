@@ -542,22 +542,87 @@ def test_added_spans(spark):
 # --- 1 toxicity ---------------------------------------------------------------------------
 
 
-def test_block_max_index_is_exact():
+def test_block_max_index_is_exact_and_skips():
+    """Equal to all cosines, ties by number, while blocks whose bound is too low stay closed."""
     rng = np.random.default_rng(13)
     vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
-        w = rng.random(len(t)) + 0.01
+    for i in range(600):
+        topic = 40 + 8 * (i % 6)  # six topics, and words that all have
+        t = np.sort(np.concatenate([rng.choice(20, 5, replace=False), topic + rng.choice(8, 4, replace=False)])).astype(np.uint64)
+        w = rng.random(len(t)) * np.where(t >= 40, 3, 0.3) + 0.01
         vectors.append((t, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vectors, 60, block=16)
-    dense = np.zeros((500, 60))
+    vectors += vectors[:30]  # ties
+    dense = np.zeros((len(vectors), 100))
     for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    for q in range(0, 500, 7):
-        scores = dense @ dense[q]
-        want = sorted(((round(float(s), 12), i) for i, s in enumerate(scores) if s > 0 and i != q), key=lambda x: (-x[0], x[1]))[:10]
-        assert [i for _, i in index.nearest(*vectors[q], 10, leave_out=q)] == [i for _, i in want]
-    assert index.nearest(np.empty(0, np.int64), np.empty(0), 10) == []
+        dense[i, t.astype(int)] = w
+    index = toxicity.BlockMaxIndex(vectors, block=16)
+    assert index.rows.shape[2] > 15  # terms with block maxima
+    for q in range(0, len(vectors), 7):
+        scores = np.round(dense @ dense[q], 12)
+        want = sorted(((float(s), i) for i, s in enumerate(scores) if s > 0 and i != q), key=lambda x: (-x[0], x[1]))[:10]
+        got = index.nearest(*vectors[q], 10, leave_out=q)
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+    assert index.passed > index.opened > 0
+    assert index.nearest(np.empty(0, np.uint64), np.empty(0), 10) == []
+    assert toxicity.BlockMaxIndex([]).nearest(vectors[0][0], vectors[0][1], 3) == []
+
+
+def test_ties_beyond_the_kth_place():
+    t = np.array([1, 2], np.uint64)
+    index = toxicity.BlockMaxIndex([(t, np.array([0.6, 0.8]))] * 100 + [(t[:1], np.array([1.0]))] * 40, block=8)
+    assert [i for _, i in index.nearest(t, np.array([0.6, 0.8]), 12)] == list(range(12))
+    assert [i for _, i in index.nearest(t[:1], np.array([1.0]), 5)] == list(range(100, 105))
+
+
+def test_toxicity_against_brute_force(spark, docs, monkeypatch):
+    """The whole query: vectors over words as strings, all cosines, votes and calibration."""
+    monkeypatch.setattr(toxicity, "ALPHA", 1000.0)  # little evidence suffices on a small table
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    split = {i: collections.Counter(decontaminate.words_of(t)) for i, t in texts}
+    terms = {i: {**{(w, 0): n for w, n in c.items()}, **collections.Counter({(w[:b], b): 0 for w in c for b in toxicity.BEGINNINGS if len(w) > b})} for i, c in split.items()}
+    for i, c in split.items():
+        for w, n in c.items():
+            for b in toxicity.BEGINNINGS:
+                if len(w) > b:
+                    terms[i][w[:b], b] += n
+    train = [i for i, _ in texts if i in y]
+    rate = sum(y[i] for i in train) / len(train)
+    seen, toxic = collections.Counter(t for i in train for t in terms[i]), collections.Counter(t for i in train if y[i] for t in terms[i])
+    part = lambda a, b: a * np.log(a / b) if a > 0 else 0.0
+    strength = {t: n * (part(toxic[t] / n, rate) + part(1 - toxic[t] / n, 1 - rate)) / np.log(len(seen) / toxicity.ALPHA) for t, n in seen.items() if toxic[t] / n > rate}
+    factor = {t: 1 + e for t, e in strength.items() if e >= 1}
+    assert factor
+
+    def cell(t):
+        a, _, b, _ = toxicity.text_terms(t[0] if not t[1] else t[0] + b"x")
+        return int(toxicity.cells(a if not t[1] else b[[n for n in toxicity.BEGINNINGS if n < len(t[0]) + 1].index(t[1]) :][:1])[0])
+
+    used = {i: {t: n for t, n in c.items() if not t[1] or t in factor} for i, c in terms.items()}
+    cells = {t: cell(t) for c in used.values() for t in c}
+    have = collections.Counter(c for d in used.values() for c in {cells[t] for t in d})
+    vectors = {}
+    for i, c in used.items():
+        v = {t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + have[cells[t]])) + 1) * factor.get(t, 1.0) for t, n in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    near = lambda i, out: sorted(((-round(sum(x * vectors[j].get(t, 0.0) for t, x in vectors[i].items()), 12), j) for j in train if j != out and vectors[j]))[: toxicity.NEIGHBOURS]
+    prior = (sum(y[i] for i in train) + 0.5) / (len(train) + 1)
+
+    def vote(found):
+        w = [(1 / (0.05 + max(0.0, 1 + s)), y[j]) for s, j in found if s < 0]
+        return (sum(a * b for a, b in w) + prior) / (sum(a for a, _ in w) + 1)
+
+    some = [i for i in train if vectors[i]]
+    steps = toxicity.isotonic(np.array([vote(near(i, i)) for i in some]), np.array([float(y[i]) for i in some]))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, _ in texts[::3]:
+        found = [x for x in near(i, None) if x[0] < 0]
+        if found:
+            assert np.isclose(got[i].vote, vote(found), atol=1e-6) and np.isclose(got[i].score, toxicity.calibrated(steps, vote(found)), atol=1e-5)
+            assert np.allclose([e.similarity for e in got[i].evidence], [-s for s, _ in found[:3]], atol=1e-9)
 
 
 def test_isotonic_rises():
