@@ -230,11 +230,12 @@ def bin_edges(df: DataFrame, features: list[str], bins: int) -> np.ndarray:
 
 def binned(features: list[str], edges: np.ndarray) -> Column:
     """Array of each feature's bin: how many edges lie below the value."""
-    each = []
-    for c, e in zip(features, edges, strict=True):
-        v = F.col(f"`{c}`").cast("double")
-        each.append(F.size(F.filter(F.array(*[F.lit(float(x)) for x in e]), lambda x, v=v: x < v)).cast("int"))
-    return F.array(*each)
+
+    def bin_of(name: str, e: np.ndarray) -> Column:
+        v = F.col(f"`{name}`").cast("double")
+        return F.size(F.filter(F.array(*[F.lit(float(x)) for x in e]), lambda x: x < v)).cast("int")
+
+    return F.array(*[bin_of(c, e) for c, e in zip(features, edges, strict=True)])
 
 
 def fit(df: DataFrame, features: list[str], targets: list[str], held: Column, key: Column, params: Params = Params()) -> BoostedModel:

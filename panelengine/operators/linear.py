@@ -105,10 +105,11 @@ class Moments:
 
     @property
     def std_x(self) -> np.ndarray:
-        """Population std with zeros replaced by 1 (StandardScaler behaviour)."""
+        """Population std with zeros replaced by 1 (StandardScaler behaviour); what is left of a
+        constant column by subtraction counts as zero."""
         var = np.clip(np.diag(self.cxx) / self.n, 0, None)
         s = np.sqrt(var)
-        s[s < 10 * np.finfo(float).eps] = 1.0
+        s[(s < 10 * np.finfo(float).eps) | (var <= 1e-12 * (var + self.mean_x**2))] = 1.0
         return s
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as BO
 from ..operators import metrics as M
 from ..operators import trees as TM
 from . import training as TR
@@ -36,13 +37,33 @@ def q_fit_random_forest(spark, sf):
     return _test_metrics(feat, sel, models, "random_forest")
 
 
+BOOSTED = BO.Params(rounds=40, learning_rate=0.1, max_depth=3, max_leaves=8, bins=16, patience=8)
+
+
+def _boosted(spark, sf, params=BOOSTED):
+    """Second-order boosting on train rows, stopped by the validation rows."""
+    feat, sel = _setup(spark, sf)
+    key = F.col("entity_id") * 100000 + F.year("month") * 12 + F.month("month")
+    return feat, BO.fit(TR.fit_rows(feat), sel, list(TR.DEFAULT_SPEC.targets), F.col("split") == "validation", key, params)
+
+
 @register("fit_boosted_early_stop")
 def q_fit_boosted_early_stop(spark, sf):
-    """Boosting with validation-based early stopping (validation split as indicator)."""
-    feat, sel = _setup(spark, sf)
-    rows = TR.fit_rows(feat).withColumn("_is_val", F.col("split") == "validation")
-    models = TM.fit_per_target(rows, sel, "gbt", validation_col="_is_val")
-    return _test_metrics(feat, sel, models, "gbm_early_stop")
+    """Regularised second-order boosting with early stopping by rounds."""
+    feat, model = _boosted(spark, sf)
+    wide = BO.predict(feat, model)
+    cols = [F.col("entity_id"), F.col("month"), F.col("split").alias("dataset"), F.lit("boosted").alias("model")]
+    for t in TR.DEFAULT_SPEC.targets:
+        cols += [F.col(t).cast("double").alias(f"actual_{t}"), F.col(f"predicted_{t}")]
+    return M.regression_metrics(M.to_long(wide.select(*cols)), by=("model", "dataset", "target"))
+
+
+@register("boosted_rounds")
+def q_boosted_rounds(spark, sf):
+    """Validation loss before each round, and whether the round is kept."""
+    _, model = _boosted(spark, sf)
+    rows = [(t, k, float(v), k < len(model.trees[i])) for i, t in enumerate(model.targets) for k, v in enumerate(model.losses[i])]
+    return spark.createDataFrame(rows, "target string, round int, validation_mse double, kept boolean")
 
 
 @register("tree_importance")

@@ -18,6 +18,7 @@ from ..operators import features as FE
 from ..operators import linear as LN
 from ..operators import metrics as M
 from ..operators.ranks import numbered
+from ..operators.whatif import hashed_uniform
 from ..spec import DEFAULT_SPEC, PanelSpec
 
 FIT_SPLITS = ("train", "validation")
@@ -105,7 +106,8 @@ def with_folds(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n_folds: int = 5,
     entities alike and leaves none empty while there are as many entities as folds.
     """
     if not by_entity:
-        return df.withColumn("_fold", F.pmod(F.xxhash64(spec.entity, spec.month, F.lit(seed)), F.lit(n_folds)).cast("int"))
+        u = hashed_uniform(F.col(spec.entity), F.year(spec.month) * 12 + F.month(spec.month), F.lit(seed))
+        return df.withColumn("_fold", F.floor(u * n_folds).cast("int"))
     sizes = df.groupBy(spec.entity).agg((-F.count(F.lit(1))).alias("_fewer"))
     ranked = numbered(sizes, [], ["_fewer", spec.entity], "_place")
     turn, place = F.floor(F.col("_place") / n_folds), F.col("_place") % n_folds
