@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import DEFAULT_SPEC, PanelSpec
 from .linear import LinearModel
@@ -24,10 +25,11 @@ def _eight_digits(v: Column) -> Column:
     return F.when(v > 0, F.rint(v / unit) * unit).otherwise(F.lit(0.0))
 
 
-def background_order(seed: int = 42, keys=("entity_id", "month")) -> Column:
-    """Hash that orders rows for the background, whatever the partitioning."""
-    entity, month = (F.col(k) for k in keys)
-    return hashed_uniform(entity, F.year(month) * 12 + F.month(month), F.lit(seed))
+def background_order(df: DataFrame, seed: int = 42, keys=("entity_id", "month")) -> Column:
+    """Hash that orders rows for the background, whatever the partitioning; a date counts as the
+    number of its month, other keys are whole numbers."""
+    number = lambda k: F.year(k) * 12 + F.month(k) if isinstance(df.schema[k].dataType, (T.DateType, T.TimestampType)) else F.col(k).cast("long")
+    return hashed_uniform(*[number(k) for k in keys], F.lit(seed))
 
 
 def background_mean(df: DataFrame, features: list[str], n: int = 100, seed: int = 42, keys=("entity_id", "month")) -> np.ndarray:
@@ -39,7 +41,7 @@ def background_mean(df: DataFrame, features: list[str], n: int = 100, seed: int
 
 
 def background_sample(df: DataFrame, n: int = 100, seed: int = 42, keys=("entity_id", "month")) -> DataFrame:
-    return df.orderBy(background_order(seed, keys), *keys).limit(n)
+    return df.orderBy(background_order(df, seed, keys), *keys).limit(n)
 
 
 def explanations(
