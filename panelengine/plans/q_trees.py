@@ -37,7 +37,7 @@ def q_fit_random_forest(spark, sf):
     return _test_metrics(feat, sel, models, "random_forest")
 
 
-BOOSTED = BO.Params(rounds=40, learning_rate=0.1, max_depth=3, max_leaves=8, bins=16, patience=8)
+BOOSTED = BO.Params(rounds=20, learning_rate=0.2, max_depth=3, max_leaves=8, bins=16, patience=5)
 
 
 def _boosted(spark, sf, params=BOOSTED):
