@@ -77,3 +77,29 @@ def test_shap_sums_to_prediction(spark):
     ex = EX.explanations(rows, m, bg, top=len(m.features)).toPandas()
     sums = ex.groupby(["entity_id", "month", "target"]).agg(phi=("phi", "sum"), base=("base_value", "first"), pred=("prediction", "first"))
     np.testing.assert_allclose(sums["phi"] + sums["base"], sums["pred"], rtol=1e-9, atol=1e-6)
+
+
+def _gram(x, y):
+    z = np.column_stack([np.ones(len(x)), x - x.mean(0), y - y.mean(0)])
+    return z.T @ z
+
+
+def test_lasso_of_nearly_collinear_features_is_the_minimum():
+    """Counts that are multiples of each other but for rounding: sweeps alone need millions."""
+    rng = np.random.default_rng(11)
+    n = 400
+    x = rng.normal(size=(n, 8)) * 1e3
+    x[:, 1] = np.rint(x[:, 0] * 3)  # all but collinear
+    x[:, 5] = x[:, 4]  # a copy
+    x[:, 6] = x[:, 2] + x[:, 3]  # a sum
+    x[:, 7] = 0.25 * x[:, 2] + rng.normal(size=n) * 0.1
+    y = np.column_stack([1e4 * (x @ rng.normal(size=8)) + 1e5 * rng.normal(size=n), x[:, 7] - x[:, 2], rng.normal(size=n) * 1e-3])
+    xs, yc = (x - x.mean(0)) / x.std(0), y - y.mean(0)
+    for alpha, l1_ratio in ((1.0, 1.0), (1e-3, 1.0), (1.0, 0.5)):
+        m = LN.fit_from_gram(_gram(x, y), [f"f{i}" for i in range(8)], ["a", "b", "c"], "elastic_net", alpha, l1_ratio)
+        w = m.scaled_coef()
+        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+        slope = xs.T @ (yc - xs @ w) / n - l2 * w
+        off = np.where(w != 0, np.abs(slope - l1 * np.sign(w)), np.maximum(np.abs(slope) - l1, 0))
+        assert (off <= 1e-8 * np.abs(xs.T @ yc / n).max(0) + 1e-12).all(), (alpha, l1_ratio, off)
+    assert (w[:, 2] == 0).all()
