@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 
 from panelengine.llm import common, decontaminate, jaccard, line_chunks, packing, pii, quality, secrets, substring, toxicity, warc
@@ -758,3 +759,49 @@ def test_spliced_lines_go_whole(spark):
     assert {i: r.text for i, r in got.items()} == want
     assert all(got[i].n_removed == 0 and got[100 + i].n_spans == 1 and got[100 + i].text.count("\n") == 2 for i in range(60))
     assert all(r.n_removed == len(dict(rows)[i]) - len(r.text) for i, r in got.items()) and got[300].text == "a b c\na b c\n"
+
+
+def plain_units(text, min_unit):
+    """Units one word at a time, with the patterns of the operator's description."""
+    cjk = substring._CJK
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    found = list(re.finditer(rf"[{cjk}](?<![\W_])|[^\W_{cjk}]+", low))
+
+    def hashed(i):
+        return xxhash.xxh3_64_intdigest(found[i].group()) if i < len(found) else 0
+
+    def place(i):
+        gap = text[found[i].end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
+        if "\n" in gap:
+            return 0
+        sentence = re.search(r"[.!?](?=\s|$)|[。．！？｡]", gap)
+        kind = 1 if sentence else 2 if re.search(r"[,;:](?=\s|$)|[、，；：､]", gap) else 3
+        both = (hashed(i) * 0x9E3779B97F4A7C15 + hashed(i + 1)) % 2**64
+        return kind << 62 | int(common.mix(np.array([both], np.uint64))[0]) >> 2 | 1
+
+    key, out, first = [place(i) for i in range(len(found))], [], 0
+    for i, k in enumerate(key):
+        near = [key[j] if 0 <= j < len(key) else 0 for d in range(1, min_unit) for j in (i - d, i + d)]
+        if k == 0 or all(k < x for x in near[::2]) and all(k <= x for x in near[1::2]):
+            out.append((i + 1 - first, xxhash.xxh3_128_digest(" ".join(m.group() for m in found[first : i + 1]))))
+            first = i + 1
+    return out
+
+
+def test_units_by_arrays_equal_those_word_by_word(spark):
+    rng = random.Random(5)
+    signs = [*"abXY09 __..,,;:!?'-\n\n\t\r\x0b\x1c\x85　", "İ", "ß", "Σ", "Ⓐ", "é", "²", "١", "ﬁ", "ｦ", "々", "〆", "中", "あ", "。", "，", "\U00020001", "\U0001f600"]
+    texts = ["".join(rng.choices(signs if i % 2 else [*signs[:22], " the ", " word"], k=rng.choice((0, 1, 3, 20, 90)))) for i in range(3000)]
+    for i, text in enumerate(texts):
+        least = (4, 1, 2, 7)[i % 4]
+        found = substring.units(text, least)
+        assert [u[2:] for u in found] == plain_units(text, least), (text, least)
+        assert all(a < b for a, b, *_ in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+    # the pass that counts digests hands on nothing but their first halves
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:200])] + [(-1, None)], "doc_id long, text string")
+    halves = substring._first_halves(table, "text", 4)
+    assert halves.columns == ["d1"]
+    want = [int.from_bytes(u[3][:8], "little", signed=True) for t in texts[:200] for u in substring.units(t)]
+    assert sorted(r.d1 for r in halves.collect()) == sorted(want)
