@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,23 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While it holds, the shuffle files of a query go when the query ends, not when the driver
+    happens to collect its garbage. For frames that are run once (tables, checkpoints, what is
+    collected): one that is run again would make its shuffles anew."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def dealt_anew(df: DataFrame) -> DataFrame:
     """``df`` without its partitioning. An aggregate joined again with its own input would
     otherwise be joined where it stands, and a hot key of the input would stay one task; so

@@ -11,9 +11,12 @@ connected need no check, and no group is ever expanded into its pairs.
    l(n) = max(1, n // 8). Two sets that link share their first l common shingles within the
    first n - o + l of each in rank order, so a set whose prefix holds fewer than l(o)
    shingles that stand in another prefix as well links with nothing and is dropped; with it
-   go its shingles, and the test is repeated. Those that remain and share a shingle are
-   gathered into clusters by connected components. Each task first joins its own documents,
-   so a shingle has one row from each task and local cluster, however many documents have it.
+   go its shingles, and the test is repeated. In the end each set leaves out the l(o) - 1 that
+   most prefixes have: of the l(o) it shares with a set it links with, the rarest stays in
+   both. So phrases that many texts have in common do not chain them to one large cluster.
+   Those that remain and share a shingle are gathered into clusters by connected components.
+   Each task first joins its own documents, so a shingle has one row from each task and local
+   cluster, however many documents have it.
 3. *Trees*: the members of a cluster (bins of small clusters) are put in a signature tree.
    Leaves are sets with a bitmap of their shingles, nodes hold the OR of the bitmaps, the
    range of the sizes, and the largest number of shingles that share a bit. The tree is
@@ -23,7 +26,11 @@ connected need no check, and no group is ever expanded into its pairs.
 4. *Large clusters* are dealt by hash over bounded tiles, twice with different hashes, which
    connects most of what belongs together; then tiles are formed of what is still apart and
    every pair of tiles that are not known to be connected is joined in the same way, so no
-   link between different sets is lost.
+   link between different sets is lost. The pairs go in waves, each of which moves about as
+   much text as the large clusters hold.
+
+A query's shuffle files go when it ends (``shuffles_removed``), and only texts that may be in
+a cluster are shuffled, so disk follows the largest step, not the sum of all.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table, connected_components, dealt_anew, key_filter, passes, prepare, shingle_set, signed, utf8, without_ids
+from .common import as_table, connected_components, dealt_anew, key_filter, may_be_in, passes, prepare, shingle_set, shuffles_removed, signed, utf8, without_ids
 
 WORDS = 5
 #: links: DEN * intersection >= NUM * union
@@ -252,12 +259,20 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, cells: np.nda
 
 
 def _supported(rows: DataFrame) -> DataFrame:
-    """Rows (token, doc, need) of the documents with as many shared shingles as they need."""
-    for _ in range(ROUNDS):
-        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    """Of rows (token, doc, need) those (token, doc) of the documents with as many shared
+    shingles as they need, without the need - 1 that most rows have. Counts order the shingles
+    alike for all, and a link shares ``need`` or more, so the rarest it shares stays in both."""
+    for left in reversed(range(ROUNDS)):
+        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = rows.join(dealt_anew(shared), "token")
-        enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("doc")
-        rows = as_table(rows.join(dealt_anew(enough), "doc").select("token", "doc", "need"), "jaccard-supported")
+        if left:
+            enough = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"), F.min("need").alias("least")).where("rows >= least").select("doc")
+            rows = rows.join(dealt_anew(enough), "doc").select("token", "doc", "need")
+        else:
+            # fewer rows than needed have no such place, so they go as well
+            place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), F.desc("token")))
+            rows = rows.withColumn("place", place).where("place >= need").select("token", "doc")
+        rows = as_table(rows, "jaccard-supported")
     return rows
 
 
@@ -421,6 +436,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``docs``. groups: (rep, component) of the representatives that link with others; component
     is the smallest of those that links reach."""
     prepare(docs.sparkSession)
+    with shuffles_removed(docs.sparkSession):
+        return _groups(docs, id_col, text_col, k, tile)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, tile: int) -> tuple[DataFrame, DataFrame]:
     scan = as_table(_scan(docs, id_col, text_col, k), "jaccard-scan")
     rows = scan.where("slice is null").select("doc", "n", "key")
     cells = _cells(scan)
@@ -432,6 +452,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("weight").alias("size")).where("sets > 1").drop("sets")
     member = member.join(dealt_anew(sizes), "cluster").checkpoint()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    held = key_filter(member.select(F.xxhash64("doc").alias("k")))
+    texts = texts.where(may_be_in(docs.sparkSession, held, F.xxhash64("doc")))
     full = as_table(texts.join(member, "doc").dropDuplicates(["doc", "text"]), "jaccard-members")
 
     def tiles(n):
@@ -451,7 +473,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             found = more if found is None else found.union(more)
             comp = connected_components(found)
             labels = big.select("doc").distinct().join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")).checkpoint()
-        found = found.union(as_table(_apart(big, labels, k, tiles, tile), "jaccard-pairs"))
+        found = found.union(_apart(big, labels, k, tiles, tile))
     groups = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     if found is not None:
         groups = groups.union(connected_components(found))
@@ -462,7 +484,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _apart(big: DataFrame, labels: DataFrame, k: int, tiles, tile: int) -> DataFrame:
     """Links between components of one cluster that are still apart: tiles of one large
-    component or of several small ones, all pairs of tiles that are not of one component."""
+    component or of several small ones, all pairs of tiles that are not of one component. As a
+    tile goes to each of its pairs, they are dealt to waves that move as much text as ``big``
+    has, on average, and a wave's text is gone from disk before the next one moves."""
     rows = big.join(labels, "doc")
     count = rows.groupBy("cluster", "component").agg(F.sum("weight").alias("members"))
     count = count.withColumn("large", F.col("members") > tile)
@@ -475,14 +499,22 @@ def _apart(big: DataFrame, labels: DataFrame, k: int, tiles, tile: int) -> DataF
         ),
     )
     rows = rows.select("cluster", "component", "doc", "text", "tile", F.when(F.col("large"), F.col("component")).alias("whole")).checkpoint()
-    have = rows.groupBy("cluster", "tile").agg(F.first("whole").alias("whole"))
+    have = rows.groupBy("cluster", "tile").agg(F.first("whole").alias("whole"), F.sum(F.octet_length("text")).alias("bytes")).checkpoint()
     a, b = have.alias("a"), have.alias("b")
     pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.tile") <= F.col("b.tile"))).where(
         "a.whole is null or b.whole is null or a.whole <> b.whole"
     )
-    pairs = pairs.select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("x"), F.col("b.tile").alias("y"))
+    moved = F.col("a.bytes") + F.when(F.col("a.tile") < F.col("b.tile"), F.col("b.bytes")).otherwise(0)
+    pairs = pairs.select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("x"), F.col("b.tile").alias("y"), moved.alias("moved")).checkpoint()
+    waves = max(1, math.ceil((pairs.agg(F.sum("moved")).first()[0] or 0) / (have.agg(F.sum("bytes")).first()[0] or 1)))
     sides = pairs.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
-    return _joined_groups(sides.join(rows, ["cluster", "tile"]), ["cluster", "x", "y"], k)
+    found = None
+    for wave in range(waves):
+        some = sides.where(F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(waves)) == wave)
+        # a few rows a tile: broadcast, so that only the texts' way to their pairs is a shuffle
+        more = as_table(_joined_groups(rows.join(F.broadcast(some), ["cluster", "tile"]), ["cluster", "x", "y"], k), "jaccard-pairs")
+        found = more if found is None else found.union(more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, tile: int = TILE) -> DataFrame:

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -729,6 +730,74 @@ def test_blank_row_of_an_id_in_a_cluster(spark):
     assert sorted(r.doc_id for r in jaccard.keep_one_of_each(table).collect()) == [1, 1, 1, 3]
 
 
+def full_cells(monkeypatch):
+    """The shingle counts of a corpus so large that they tell rare from frequent no more."""
+    cells = np.zeros(1 << jaccard.CELL_BITS, np.uint64)
+    monkeypatch.setattr(jaccard, "_cells", lambda scan: cells)
+    return cells
+
+
+def test_common_phrases_do_not_chain_clusters(spark, monkeypatch):
+    """Pairs of copies, each with a phrase of the pair before and one of the pair after."""
+    cells = full_cells(monkeypatch)
+    rng = random.Random(51)
+    phrases = [" ".join(words(rng, 8)) for _ in range(31)]
+    rows = []
+    for i in range(30):
+        body = [*words(rng, 40), phrases[i], *words(rng, 40), phrases[i + 1]]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join([*body, "end"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard._candidates(table, "doc_id", "text", 5, cells, table.selectExpr("doc_id rep")).collect()
+    assert {r.doc: r.cluster for r in found} == {i: i // 2 * 2 for i in range(60)}
+    got = jaccard.near_duplicates(table).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_pairs_of_tiles_go_in_waves(spark, monkeypatch):
+    """One cluster of texts that share much and hardly link, over many tiles: no wave moves much
+    more than the texts once."""
+    full_cells(monkeypatch)
+    rng = random.Random(52)
+    base = words(rng, 80)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([1, 5, 6, 7])):
+            w[rng.randrange(len(w))] = f"new{rng.random()}"
+        rows.append((i, " ".join(w)))
+    moved = []
+
+    def joined(frame, by, k, whole=False, then=jaccard._joined_groups):
+        if "x" in by:
+            moved.append(frame.count())
+        return then(frame, by, k, whole)
+
+    monkeypatch.setattr(jaccard, "_joined_groups", joined)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=4).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert sum(moved) > 5 * len(rows) and max(moved) <= 3 * len(rows)
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark, docs):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+
+    def files():
+        it = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        out = set()
+        while it.hasNext():
+            out.add(it.next().getName())
+        return {x for x in out if x.startswith("shuffle_") and x.endswith(".data")}
+
+    before = files()
+    sets, groups = jaccard.near_duplicate_groups(docs)
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.5)
+    assert not files() - before and spark.conf.get(key, None) == was
+    assert sets.count() == sets.count() == docs.count()
+
+
 def brute_line_runs(rows):
     """rows: (id, text), ids rising; what is left without the lines of pairs seen before."""
     seen, out = {}, {}
